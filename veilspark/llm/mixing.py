@@ -26,6 +26,8 @@ MOST_PASSES = 3
 SHARDS = 32
 #: Documents that may fill what the last pass's order leaves open.
 FILLS = 4
+#: Documents about the last pass's end, at least, that it chooses from.
+CUT_DOCS = 64
 
 
 def size_of(text: Column) -> Column:
@@ -65,22 +67,28 @@ def placed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
 
 
 def quotas(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """One row for each block: source, _block, its words, how many whole passes take it, and how
-    many words of it the last pass takes (`part`; the block at the end of that pass gives some
-    documents only)."""
-    blocks = rows.groupBy("source", "_block").agg(F.sum("_size").alias("words"))
+    """One row for each block: source, _block, its words, how many whole passes take it, whether
+    the last pass takes it whole (`more`), and whether it lies about that pass's end (`cut`), where
+    single documents make up `part` words together."""
+    blocks = rows.groupBy("source", "_block").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("docs"))
     sources = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
-    by_source = Window.partitionBy("source").orderBy("_block")
-    found = blocks.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "_block", "words", "source_size", "target")
+    all_of = Window.partitionBy("source")
+    by_source = all_of.orderBy("_block")
+    found = blocks.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "_block", "words", "docs", "source_size", "target")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     return (
         found.withColumn("passes", passes)
         .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
         .withColumn("before", F.sum("words").over(by_source) - F.col("words"))
         .withColumn("part", F.greatest(F.lit(0.0), F.least(F.col("words").cast("double"), F.col("rest") - F.col("before"))))
-        .withColumn("blocks", F.count(F.lit(1)).over(Window.partitionBy("source")))
+        .withColumn("blocks", F.count(F.lit(1)).over(all_of))
         .withColumn("rank", F.row_number().over(by_source) - 1)
-        .drop("rest", "before")
+        .withColumn("end", F.sum((F.col("before") + F.col("words") <= F.col("rest")).cast("long")).over(all_of))
+        .withColumn("near", F.ceil(CUT_DOCS * F.col("blocks") / F.sum("docs").over(all_of)))
+        .withColumn("cut", (F.col("rest") > 0) & (F.abs(F.col("rank") - F.col("end")) <= F.col("near")))
+        .withColumn("more", ~F.col("cut") & (F.col("part") > 0))
+        .withColumn("part", F.sum(F.when(F.col("cut"), F.col("part"))).over(all_of))
+        .drop("rest", "before", "end", "near", "docs")
     )
 
 
@@ -125,7 +133,7 @@ def hypergeometric(total: Column, own: Column, taken: Column, u: Column) -> Colu
 
 def shard_quotas(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
     """shard, source -> how many draws before it (`first`) and up to its end (`last`)."""
-    draws = (F.col("passes") + (F.col("part") > 0).cast("long")).alias("n")
+    draws = F.col("passes") + (F.col("more") | F.col("cut")).cast("long")
     by_source = blocks.groupBy("source").agg(F.sum(draws).alias("n"))
     tree = by_source.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("absent"), "source", "n"))).alias("quota"))
     tree = tree.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "quota").where(F.size("quota") > 0)
@@ -183,12 +191,11 @@ def blocks_for(docs: DataFrame) -> int:
 def draw(rows: DataFrame, share: DataFrame, columns: list[str], shards: int, seed: int) -> DataFrame:
     """rows (of placed) with what the mix takes of them, given the blocks' shares (of quotas)."""
     spread = rows.join(share.withColumnRenamed("source", "_of").withColumnRenamed("_block", "_of_block"), F.col("source").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_of_block"))).drop("_of", "_of_block")
-    cut = (F.col("part") > 0) & (F.col("part") < F.col("words"))
-    # Only the last block of a source's last pass looks at its documents' order: whole documents
-    # while they fit, then, a few times, the one that comes nearest to what is missing.
-    inside = Window.partitionBy("source", "_block")
-    order = inside.orderBy("_at", "doc_id", "_size")
-    part = spread.where(cut).withColumn("_nth", F.row_number().over(order)).withColumn("_upto", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # Only blocks about the end of a source's last pass look at their documents' order: whole
+    # documents while they fit, then, a few times, the one that comes nearest to what is missing.
+    inside = Window.partitionBy("source")
+    order = inside.orderBy("rank", "_at", "doc_id", "_size")
+    part = spread.where("cut").withColumn("_nth", F.row_number().over(order)).withColumn("_upto", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     part = part.withColumn("_more", F.col("_upto") <= F.col("part"))
     part = part.withColumn("_gap", F.col("part") - F.coalesce(F.max(F.when(F.col("_more"), F.col("_upto"))).over(inside), F.lit(0)))
     for _ in range(FILLS):
@@ -198,7 +205,7 @@ def draw(rows: DataFrame, share: DataFrame, columns: list[str], shards: int, see
         part = part.withColumn("_more", F.col("_more") | F.coalesce(F.col("_best._nth") == F.col("_nth"), F.lit(False)))
         part = part.withColumn("_gap", F.col("_gap") - F.coalesce(F.col("_best._size"), F.lit(0)))
     part = part.drop("_nth", "_upto", "_gap", "_near", "_best")
-    whole = spread.where(~cut).withColumn("_more", F.col("part") > 0)
+    whole = spread.where(~F.col("cut")).withColumn("_more", F.col("more"))
     taken = whole.unionByName(part)
     # Draw k of a source: pass after pass over its blocks in order; shards own ranges of draws.
     ranges = shard_quotas(share, shards, seed).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("last", "shard"))).alias("ranges"))
