@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing, neardup, quality, tokens, urls
+from . import embeddings, mixing, neardup, quality, tokens, toxicity, urls
 
 #: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -67,6 +67,11 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity_report(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_embedding_neardup": op2_embedding_neardup,
@@ -75,5 +80,6 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_toxicity": op10_toxicity,
 }
 SQL = {"op1_url_filter": OP1_SQL}
