@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, mixing, neardup, quality, tokens, toxicity, urls
+from . import embeddings, html_pages, html_text, mixing, neardup, quality, tokens, toxicity, urls
 
 #: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -50,6 +50,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_texts(table(spark, sf_dir, "pages"), html_pages.trained())
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.quality_report(docs, quality.learn(quality.labelled(docs, table(spark, sf_dir, "labels"))))
@@ -76,6 +80,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_embedding_neardup": op2_embedding_neardup,
     "op3_mix": op3_mix,
+    "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op8_minhash_neardup": op8_minhash_neardup,
