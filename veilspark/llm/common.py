@@ -7,8 +7,10 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS = "[^\x20\x09-\x0d]+"
@@ -99,3 +101,57 @@ def components(links: DataFrame) -> DataFrame:
         if state == before or (state[0] == state[1] and now.select("v").join(now.select("u"), F.col("v") == F.col("u"), "left_semi").isEmpty()):
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         before = state
+
+
+#: Bits of a sieve: 4 MB whatever the number of ids.
+SIEVE_BITS = 1 << 25
+SIEVE_PARTS = 64
+
+
+class Sieve:
+    """A bitmap of hashed ids of a fixed size.  It lets all of its ids through, and hardly any others
+    while they are fewer than its bits; beyond that it only filters less."""
+
+    def __init__(self, ids: DataFrame):
+        """ids: one column, long.  Tasks fill bitmaps, parts of which are joined before they come."""
+        width = SIEVE_BITS // SIEVE_PARTS // 8
+
+        def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                at = slots(np.asarray(b.column(0)))
+                for part in np.unique(at // (width * 8)).tolist():
+                    bits = held.setdefault(part, np.zeros(width * 8, bool))
+                    bits[at[at // (width * 8) == part] % (width * 8)] = True
+            yield out({k: np.packbits(v) for k, v in held.items()})
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for part, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    new = np.frombuffer(bits, np.uint8)
+                    held[part] = held[part] | new if part in held else new
+            yield out(held)
+
+        def out(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["part", "bits"])
+
+        kind = "part int, bits binary"
+        self.bits = np.zeros(SIEVE_BITS // 8, np.uint8)
+        for r in ids.mapInArrow(fill, kind).repartition(SIEVE_PARTS, "part").mapInArrow(merge, kind).toLocalIterator():
+            self.bits[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+
+    def holds(self, column: Column) -> Column:
+        bits = self.bits
+
+        @F.pandas_udf("boolean")
+        def held(ids: pd.Series) -> pd.Series:
+            at = slots(ids.fillna(0).to_numpy(np.int64))
+            return pd.Series((bits[at // 8] >> (7 - at % 8)) & 1 == 1)
+
+        return held(column)
+
+
+def slots(ids: np.ndarray) -> np.ndarray:
+    h = ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(SIEVE_BITS)).astype(np.int64)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import Sieve, components, stored
 from .shingles import mix64, shingle_set
 
 #: Two documents of similarity 0.85 share no prefix of 4 in any of 24 trees once in 5e7 pairs.
@@ -177,7 +177,9 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> Data
     classes = stored(classes_of(signed))
     pairs = stored(candidates(classes, percent))
     wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("a"), "text").join(wanted, "a", "left_semi").dropDuplicates(["a"]))
+    # Hardly any texts but the wanted ones are moved.
+    some = docs.select(F.col("doc_id").cast("long").alias("a"), "text").where(Sieve(wanted).holds(F.col("a")))
+    texts = stored(some.join(wanted, "a", "left_semi").dropDuplicates(["a"]))
 
     def confirmed(some: DataFrame) -> DataFrame:
         full = some.select("a", "b").join(texts.withColumnRenamed("text", "text_a"), "a").join(texts.select(F.col("a").alias("b"), F.col("text").alias("text_b")), "b")
