@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, stored
+from .common import LETTERS, Sieve, stored
+from .quality import let
 from .shingles import OTHER_SPACES, WORD, hashes, mix64
 
 #: Lines of fewer words are left alone.
@@ -204,18 +205,19 @@ def verifier(t: float):
 def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """pairs of places -> digests of later lines that are similar enough to the earlier one."""
     places = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).union(pairs.select("doc_id", "line")).distinct()
-    wanted = places.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("wanted"))
+    wanted = stored(places.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("wanted")))
     split = F.split("text", "\n")
+    some = docs.select("doc_id", "text").where(Sieve(wanted.select("doc_id")).holds(F.col("doc_id")))  # hardly any others are moved
     lines = stored(
-        docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
+        some.join(wanted, "doc_id").dropDuplicates(["doc_id"])
         .select("doc_id", F.explode(F.transform("wanted", lambda k: F.struct(k.alias("line"), F.get(split, k).alias("words")))).alias("l")).select("doc_id", "l.*")
     )
     full = pairs.select("digest", "doc_a", "line_a", "doc_id", "line").join(lines.select(F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a"), F.col("words").alias("words_a")), ["doc_a", "line_a"]).join(lines, ["doc_id", "line"])
     return full.select("digest", "words_a", "words").mapInArrow(verifier(t), "digest long").distinct()
 
 
-def kept_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
-    """doc_id, line of the lines with enough words that stay."""
+def removed_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
+    """doc_id, line of the lines that go."""
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
     survey = stored(texts.mapInArrow(surveyor(least), "kind int, digest long, doc_id long, line int"))
     counts = np.zeros(COUNTERS, np.int64)
@@ -253,7 +255,8 @@ def kept_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WORDS)
         more = left.join(other, "word").where(fits).select(*pair).distinct().join(near.select(*pair), pair, "left_anti")
         found = ordered(more).join(gone, "digest", "left_anti")
         gone = stored(gone.union(verified(texts, stored(found), t)).distinct())
-    return firsts.join(gone, "digest", "left_anti").select("doc_id", "line")
+    stay = firsts.join(gone, "digest", "left_anti")
+    return survey.where("kind = 0").select("doc_id", "line").distinct().join(stay, ["doc_id", "line"], "left_anti")
 
 
 def without_repeats(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
@@ -263,26 +266,17 @@ def without_repeats(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_W
     stay null; rows without doc_id stay as they are and match nothing; rows that share a doc_id are
     one document, of which each line number counts once.
     """
-    stay = kept_lines(docs, t, least).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list("line")).alias("_stay"))
-    joined = docs.join(stay, F.col("doc_id") == F.col("_id"), "left")
-
-    @F.pandas_udf("n_lines int, n_removed int, text string")
-    def cut(text, stay, known):
-        import pandas as pd
-
-        out = []
-        for t, s, k in zip(text, stay, known):
-            if not isinstance(t, str):
-                out.append((0, 0, None))
-                continue
-            lines = t.split("\n")
-            if not k:
-                out.append((len(lines), 0, t))
-                continue
-            keep = set() if s is None else set(map(int, s))
-            gone = {n for n, _ in line_words(t, least)} - keep
-            out.append((len(lines), len(gone), "\n".join(x for n, x in enumerate(lines) if n not in gone)))
-        return pd.DataFrame(out, columns=["n_lines", "n_removed", "text"])
-
-    done = joined.withColumn("_cut", cut("text", "_stay", F.col("doc_id").isNotNull()))
-    return done.select(*[F.col("_cut.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], F.col("_cut.n_lines").alias("_n_lines"), F.col("_cut.n_removed").alias("_n_removed"))
+    gone = stored(removed_lines(docs, t, least).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list("line")).alias("_gone")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    lines = F.split("text", "\n", -1)
+    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).alias("_n_lines")
+    # Only documents that may lose lines are moved.
+    touched = docs.withColumn("_touched", Sieve(gone.select("_id")).holds(F.col("doc_id").cast("long")) & F.col("doc_id").isNotNull())
+    whole = touched.where(~F.col("_touched")).select(*columns, n_lines, F.lit(0).alias("_n_removed"))
+    joined = touched.where("_touched").drop("_touched").join(gone, F.col("doc_id") == F.col("_id"), "left")
+    none = F.array().cast("array<int>")
+    numbers = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.coalesce("_gone", none))
+    left = let(lines, lambda x: F.array_join(F.transform(numbers(x), lambda k: F.get(x, k)), "\n"))
+    text = F.when(F.size(F.coalesce("_gone", none)) > 0, left).otherwise(F.col("text"))
+    cut = joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines, F.size(F.coalesce("_gone", none)).alias("_n_removed"))
+    return whole.unionByName(cut)

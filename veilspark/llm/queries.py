@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embeddings, html_pages, html_text, mixing, neardup, quality, tokens, toxicity, urls
+from . import embeddings, html_pages, html_text, lines, mixing, neardup, quality, tokens, toxicity, urls
 
 #: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -63,6 +63,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), limit=512)
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.without_repeats(table(spark, sf_dir, "documents"))
+    return done.selectExpr("doc_id", "_n_lines AS n_lines", "_n_removed AS n_removed", "text")
+
+
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), length=5, percent=85)
 
@@ -83,6 +88,7 @@ QUERIES = {
     "op4_html_extraction": op4_html_extraction,
     "op5_quality_rules": op5_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op7_line_dedup": op7_line_dedup,
     "op8_minhash_neardup": op8_minhash_neardup,
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_toxicity": op10_toxicity,
