@@ -66,30 +66,34 @@ def placed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
     return docs.withColumn("_size", size_of(F.col("text"))).withColumn("_at", at).withColumn("_block", F.shiftrightunsigned(F.col("_at"), 33) % blocks)
 
 
-def quotas(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """One row for each block: source, _block, its words, how many whole passes take it, whether
-    the last pass takes it whole (`more`), and whether it lies about that pass's end (`cut`), where
-    single documents make up `part` words together."""
-    blocks = rows.groupBy("source", "_block").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("docs"))
-    sources = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
+def quotas(rows: DataFrame, blocks: int, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
+    """One row for each source: its size and target, how many whole passes the mix takes, and where
+    a last pass ends: it takes blocks before `low` whole, and of those from `low` to `high` (`cut`;
+    about CUT_DOCS documents either side of its end) single documents of `part` words together.
+    `n` is the source's quota of block draws."""
+    by_block = rows.groupBy("source", "_block").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("docs"))
+    sources = targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
     all_of = Window.partitionBy("source")
-    by_source = all_of.orderBy("_block")
-    found = blocks.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "_block", "words", "docs", "source_size", "target")
+    found = by_block.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "_block", "words", "docs", "source_size", "target")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    return (
+    found = (
         found.withColumn("passes", passes)
         .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-        .withColumn("before", F.sum("words").over(by_source) - F.col("words"))
-        .withColumn("part", F.greatest(F.lit(0.0), F.least(F.col("words").cast("double"), F.col("rest") - F.col("before"))))
-        .withColumn("blocks", F.count(F.lit(1)).over(all_of))
-        .withColumn("rank", F.row_number().over(by_source) - 1)
-        .withColumn("end", F.sum((F.col("before") + F.col("words") <= F.col("rest")).cast("long")).over(all_of))
-        .withColumn("near", F.ceil(CUT_DOCS * F.col("blocks") / F.sum("docs").over(all_of)))
-        .withColumn("cut", (F.col("rest") > 0) & (F.abs(F.col("rank") - F.col("end")) <= F.col("near")))
-        .withColumn("more", ~F.col("cut") & (F.col("part") > 0))
-        .withColumn("part", F.sum(F.when(F.col("cut"), F.col("part"))).over(all_of))
-        .drop("rest", "before", "end", "near", "docs")
+        .withColumn("upto", F.sum("words").over(all_of.orderBy("_block")))
+        .withColumn("end", F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("_block") + 1)).over(all_of), F.lit(0)))
+        .withColumn("near", F.ceil(CUT_DOCS * blocks / F.sum("docs").over(all_of)))
     )
+    one = found.groupBy("source").agg(
+        *[F.max(c).alias(c) for c in ("source_size", "target", "passes", "rest")],
+        F.max(F.col("end") - F.col("near")).alias("low"),
+        F.max(F.least(F.col("end") + F.col("near"), F.lit(blocks - 1))).alias("high"),
+        F.sum(F.when(F.col("_block") < F.col("end") - F.col("near"), F.col("words")).otherwise(F.lit(0))).alias("before"),
+    )
+    ends = F.col("rest") > 0
+    return one.select(
+        "source", "source_size", "target", "passes", F.when(ends, F.col("low")).otherwise(F.lit(0)).alias("low"), F.when(ends, F.col("high")).otherwise(F.lit(-1)).alias("high"),
+        (F.col("rest") - F.col("before")).alias("part"), (F.col("passes") * blocks + F.when(ends, F.col("high") + 1).otherwise(F.lit(0))).cast("long").alias("n"),
+    )
 
 
 def hypergeometric(total: Column, own: Column, taken: Column, u: Column) -> Column:
@@ -131,11 +135,9 @@ def hypergeometric(total: Column, own: Column, taken: Column, u: Column) -> Colu
     return let(mode, from_mode)
 
 
-def shard_quotas(blocks: DataFrame, shards: int, seed: int) -> DataFrame:
+def shard_quotas(share: DataFrame, shards: int, seed: int) -> DataFrame:
     """shard, source -> how many draws before it (`first`) and up to its end (`last`)."""
-    draws = F.col("passes") + (F.col("more") | F.col("cut")).cast("long")
-    by_source = blocks.groupBy("source").agg(F.sum(draws).alias("n"))
-    tree = by_source.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("absent"), "source", "n"))).alias("quota"))
+    tree = share.select("source", "n").agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("absent"), "source", "n"))).alias("quota"))
     tree = tree.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "quota").where(F.size("quota") > 0)
     for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
         tree = tree.select(F.explode(split_node(F.col("lo"), F.col("hi"), F.col("quota"), seed)).alias("node")).select("node.*")
@@ -179,7 +181,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 1, weights: tuple[flo
     one source, repeated rows are documents of their own, no documents give no rows.
     """
     blocks = blocks_for(docs)
-    return draw(placed(docs, blocks, seed), stored(quotas(placed(docs.select("doc_id", "source", "text"), blocks, seed), weights)), docs.columns, shards, seed)
+    return draw(placed(docs, blocks, seed), stored(quotas(placed(docs.select("doc_id", "source", "text"), blocks, seed), blocks, weights)), docs.columns, blocks, shards, seed)
 
 
 def blocks_for(docs: DataFrame) -> int:
@@ -188,14 +190,18 @@ def blocks_for(docs: DataFrame) -> int:
     return max(1, math.isqrt(docs.count()))
 
 
-def draw(rows: DataFrame, share: DataFrame, columns: list[str], shards: int, seed: int) -> DataFrame:
-    """rows (of placed) with what the mix takes of them, given the blocks' shares (of quotas)."""
-    spread = rows.join(share.withColumnRenamed("source", "_of").withColumnRenamed("_block", "_of_block"), F.col("source").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_of_block"))).drop("_of", "_of_block")
+def draw(rows: DataFrame, share: DataFrame, columns: list[str], blocks: int, shards: int, seed: int) -> DataFrame:
+    """rows (of placed) with what the mix takes of them, given the sources' shares (of quotas)."""
+    # Draw k of a source: pass after pass over its blocks in order; shards own ranges of draws.
+    ranges = shard_quotas(share, shards, seed).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("last", "shard"))).alias("ranges"))
+    of = stored(share.alias("s").join(ranges.alias("r"), F.col("s.source").eqNullSafe(F.col("r.source")), "left").select("s.*", "ranges").withColumnRenamed("source", "_of"))
+    spread = rows.join(of, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
+    cut = F.col("_block").between(F.col("low"), F.col("high"))
     # Only blocks about the end of a source's last pass look at their documents' order: whole
     # documents while they fit, then, a few times, the one that comes nearest to what is missing.
     inside = Window.partitionBy("source")
-    order = inside.orderBy("rank", "_at", "doc_id", "_size")
-    part = spread.where("cut").withColumn("_nth", F.row_number().over(order)).withColumn("_upto", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = inside.orderBy("_block", "_at", "doc_id", "_size")
+    part = spread.where(cut).withColumn("_nth", F.row_number().over(order)).withColumn("_upto", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     part = part.withColumn("_more", F.col("_upto") <= F.col("part"))
     part = part.withColumn("_gap", F.col("part") - F.coalesce(F.max(F.when(F.col("_more"), F.col("_upto"))).over(inside), F.lit(0)))
     for _ in range(FILLS):
@@ -205,14 +211,10 @@ def draw(rows: DataFrame, share: DataFrame, columns: list[str], shards: int, see
         part = part.withColumn("_more", F.col("_more") | F.coalesce(F.col("_best._nth") == F.col("_nth"), F.lit(False)))
         part = part.withColumn("_gap", F.col("_gap") - F.coalesce(F.col("_best._size"), F.lit(0)))
     part = part.drop("_nth", "_upto", "_gap", "_near", "_best")
-    whole = spread.where(~F.col("cut")).withColumn("_more", F.col("more"))
+    whole = spread.where(~cut).withColumn("_more", F.col("_block") < F.col("low"))
     taken = whole.unionByName(part)
-    # Draw k of a source: pass after pass over its blocks in order; shards own ranges of draws.
-    ranges = shard_quotas(share, shards, seed).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("last", "shard"))).alias("ranges"))
-    ranges = ranges.withColumnRenamed("source", "_of")
-    taken = taken.join(ranges, F.col("source").eqNullSafe(F.col("_of")), "left").drop("_of")
     passes = F.col("passes") + F.col("_more").cast("long")
-    nth = lambda p: p * F.col("blocks") + F.col("rank")
+    nth = lambda p: p * blocks + F.col("_block")
     shard = lambda p: F.get(F.filter("ranges", lambda r: r["last"] > nth(p)), F.lit(0))["shard"]
     place = lambda p: F.xxhash64(F.lit(seed), F.lit("place"), p, "_at", "doc_id")
     draws = F.when(passes > 0, F.transform(F.sequence(F.lit(0).cast("long"), passes - 1), lambda p: F.struct(shard(p).alias("shard"), place(p).alias("place"))))
@@ -225,12 +227,15 @@ def draw(rows: DataFrame, share: DataFrame, columns: list[str], shards: int, see
 def mix_report(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     # Texts are read once; what is kept of them is their size and place.
-    rows = stored(placed(docs.select("doc_id", "source", "text"), blocks_for(docs), seed).drop("text"))
-    m = draw(rows, stored(quotas(rows)), ["doc_id"], shards, seed)
+    blocks = blocks_for(docs)
+    rows = stored(placed(docs.select("doc_id", "source", "text"), blocks, seed).drop("text"))
+    m = draw(rows, stored(quotas(rows, blocks)), ["doc_id"], blocks, shards, seed)
     return m.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_draws")).cast("long").alias("taken"))
 
 
-def mixed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mix itself: a document's row for each time it is taken, dealt to shards and shuffled in each."""
+def mixed(docs: DataFrame, shards: int | None = None) -> DataFrame:
+    """The mix itself: a document's row for each time it is taken, dealt to shards and shuffled in
+    each.  Without a number of shards there is one for every 100,000 documents, SHARDS at least."""
+    shards = shards or min(1024, max(SHARDS, docs.count() // 100_000))
     m = mix(docs, shards).withColumn("_draw", F.explode("_draws"))
     return m.repartition(shards, F.col("_draw.shard")).sortWithinPartitions("_draw.shard", "_draw.place").select(*[F.col(f"`{c}`") for c in docs.columns])
