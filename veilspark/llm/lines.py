@@ -11,15 +11,16 @@ lines themselves.  A line goes if an earlier line has its set or is verified sim
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, Sieve, stored
+from .common import Sieve, stored
 from .quality import let
-from .shingles import OTHER_SPACES, WORD, hashes, mix64
+from .shingles import hashes, lowered, mix64, words
 
 #: Lines of fewer words are left alone.
 LEAST_WORDS = 5
@@ -27,28 +28,27 @@ SIMILARITY = 0.9
 #: Counters of the word order: hashed, so their number is fixed whatever the vocabulary.  Words that
 #: share one are ordered by hash; any order is exact, a rarer-first one is quick.
 COUNTERS = 1 << 18
-#: Rows of one word that all meet; beyond, a row meets this many before it and the first few, and
-#: what is not found similar then meets all others in a second round.
-CROWD, FIRST = 48, 4
+#: Rows of one word that meet each other at first, nearest sizes before others, and the partners of a
+#: row that are verified first.  What has more partners and is not found similar then, or stands
+#: among more rows, meets all others of its words in a second round.
+CROWD, FIRST = 1024, 3
 #: Words hashed and sorted together.
 CHUNK = 300_000
 
 
-def line_words(text: str, least: int) -> list[tuple[int, list[str]]]:
+def line_words(text: str, least: int) -> list[tuple[int, list[bytes]]]:
     """(line number, words) of the lines with enough words."""
-    text = text.lower() if text.isascii() else text.translate(LETTERS)
-    split = WORD.findall if OTHER_SPACES.search(text) else str.split
-    return [(k, w) for k, w in enumerate(map(split, text.split("\n"))) if len(w) >= least]
+    return [(k, w) for k, w in enumerate(map(bytes.split, lowered(text).split(b"\n"))) if len(w) >= least]
 
 
 class Sets:
     """The word sets of some lines, flat and in the global order, without repeats."""
 
-    def __init__(self, lines: list[list[str]], counters: np.ndarray | None = None):
+    def __init__(self, lines: list[list[bytes]], counters: np.ndarray):
         sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-        h = np.fromiter((hashes[w] for ws in lines for w in ws), np.uint64, int(sizes.sum()))
+        h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lines)), np.uint64, int(sizes.sum()))
         line = np.repeat(np.arange(len(lines)), sizes)
-        level = counters[h & np.uint64(COUNTERS - 1)] if counters is not None else np.zeros(len(h), np.uint8)
+        level = counters[h & np.uint64(COUNTERS - 1)]
         key = (line.astype(np.uint64) << np.uint64(40)) | (level.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
         order = np.argsort(key, kind="stable")
         key, h, line = key[order], h[order], line[order]
@@ -69,7 +69,7 @@ class Sets:
         return np.arange(len(self.h)) - self.starts[self.line]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[int], list[list[str]]]]:
+def chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
     """Document ids, line numbers and words of lines, about CHUNK words at a time."""
     ids, numbers, words, n = [], [], [], 0
     for b in batches:
@@ -86,22 +86,17 @@ def chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list
         yield ids, numbers, words
 
 
-def surveyor(least: int):
-    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 0: a line's digest and place; kind 1: a counter and its words."""
-        total = np.zeros(COUNTERS, np.int64)
-        for ids, numbers, words in chunks(batches, least):
-            s = Sets(words)
-            total += np.bincount((s.h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            yield rows(0, s.digest.view(np.int64), ids, numbers)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 50_000):
-            yield rows(1, at[k : k + 50_000], total[at[k : k + 50_000]], np.zeros(len(at[k : k + 50_000])))
-
-    def rows(kind, a, b, c) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(np.asarray(c, np.int32))], names=["kind", "digest", "doc_id", "line"])
-
-    return survey
+def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts -> counters and their words."""
+    total = np.zeros(COUNTERS, np.int64)
+    for b in batches:
+        for text in b.column(0).to_pylist():
+            w = words(text)
+            h = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
+            np.add.at(total, (h & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    for k in range(0, len(at), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(total[at[k : k + 50_000]])], names=["counter", "n"])
 
 
 PREFIX = "word long, doc_id long, line int, digest long, size int, place int, parity long"
@@ -109,6 +104,7 @@ PREFIX = "word long, doc_id long, line int, digest long, size int, place int, pa
 
 def prefixer(least: int, t: float, counters: np.ndarray):
     def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines -> a row for each prefix word, and one of size 0 for the line itself."""
         seen: set[int] = set()
         for ids, numbers, words in chunks(batches, least):
             s = Sets(words, counters)
@@ -124,10 +120,14 @@ def prefixer(least: int, t: float, counters: np.ndarray):
             use = (place < reach[s.line]) & new[s.line]
             line, parity = s.line[use], s.parity().view(np.int64)
             ids, numbers = np.array(ids, np.int64), np.array(numbers, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(s.h[use].view(np.int64)), pa.array(ids[line]), pa.array(numbers[line]), pa.array(digest[line]), pa.array(s.sizes[line].astype(np.int32)), pa.array(place[use].astype(np.int32)), pa.array(parity[line])],
-                names=["word", "doc_id", "line", "digest", "size", "place", "parity"],
-            )
+            yield out(s.h[use].view(np.int64), ids[line], numbers[line], digest[line], s.sizes[line], place[use], parity[line])
+            none = np.zeros(len(ids), np.int64)
+            spread = mix64(s.digest ^ mix64(ids.view(np.uint64) + numbers.astype(np.uint64))).view(np.int64)
+            yield out(spread, ids, numbers, digest, none, none, none)
+
+    def out(word, ids, numbers, digest, size, place, parity) -> pa.RecordBatch:
+        arrays = [word, ids, numbers, digest, size.astype(np.int32), place.astype(np.int32), parity]
+        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[c.split()[0] for c in PREFIX.split(", ")])
 
     return prefix
 
@@ -144,40 +144,44 @@ MET = "kind int, word long, doc_a long, line_a int, digest_a long, doc_id long,
 
 def meeter(t: float):
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by word and place in the corpus -> pairs that pass (kind 0), rows of crowded words (kind 1)."""
-        held: list[np.ndarray] | None = None
+        """Rows by word and size -> pairs that pass (kind 0), rows that must meet all others of their
+        word (kind 1), and lines (kind 2)."""
+        held: list[np.ndarray] = []
         for b in batches:
             new = [np.asarray(c) for c in b.columns]
+            line_row = new[4] == 0
+            if line_row.any():
+                yield made(2, new[0][line_row], None, [c[line_row] for c in new[1:]])
+                new = [c[~line_row] for c in new]
             columns = [np.concatenate(c) for c in zip(held, new)] if held else new
             kept = len(held[0]) if held else 0
             word, doc, line, digest, size, place, parity = columns
             n = len(word)
-            start = np.maximum.accumulate(np.where(np.concatenate([[True], word[1:] != word[:-1]]), np.arange(n), 0))
-            pairs = []
-            for d in range(1, min(CROWD, n - 1) + 1):
-                j = np.arange(max(d, kept), n)
-                j = j[word[j] == word[j - d]]
+            if not n:
+                continue
+            partners, crowd = np.zeros(n, np.int64), np.zeros(n, bool)
+            j = np.arange(kept, n)
+            for d in range(1, n):
+                j = j[j >= d]
+                j = j[(word[j] == word[j - d]) & (size[j - d] >= t * size[j] - 1e-9)]
                 if not len(j):
                     break
-                pairs.append((j - d, j))
-            late = np.flatnonzero((np.arange(n) - start > CROWD) & (np.arange(n) >= kept))
-            for k in range(FIRST):
-                pairs.append((start[late] + k, late))
-            i, j = (np.concatenate(x) for x in zip(*pairs)) if pairs else (np.empty(0, int), np.empty(0, int))
-            ok = (digest[i] != digest[j]) & passes(size[i], place[i], parity[i], size[j], place[j], parity[j], t)
-            i, j = i[ok], j[ok]
-            if len(i):
-                yield made(0, word[j], (doc[i], line[i], digest[i]), [c[j] for c in columns[1:]])
-            runs = np.bincount(start, minlength=n)[start]
-            crowd = (runs > CROWD) & (np.arange(n) >= kept)
-            if len(late) and held and kept:  # rows that came in before their word was crowded
-                crowd |= (runs > CROWD) & (np.arange(n) < kept) & (word == held[0][-1]) & (kept <= CROWD)
+                if d > CROWD:
+                    crowd |= np.isin(word, word[j])
+                    break
+                ok = (digest[j] != digest[j - d]) & passes(size[j], place[j], parity[j], size[j - d], place[j - d], parity[j - d], t)
+                hit = j[ok]
+                partners[hit] += 1
+                more = hit[partners[hit] > FIRST]
+                crowd[more] = crowd[more - d] = True
+                few = hit[partners[hit] <= FIRST]
+                if len(few):
+                    yield made(0, word[few], (doc[few - d], line[few - d], digest[few - d]), [c[few] for c in columns[1:]])
+            # The first partners of rows with more must be met again by those beyond them.
             if crowd.any():
                 yield made(1, word[crowd], None, [c[crowd] for c in columns[1:]])
-            tail = np.flatnonzero(word == word[-1]) if n else np.empty(0, int)
-            if len(tail) > CROWD + FIRST + 1:
-                tail = np.concatenate([tail[:FIRST], tail[-CROWD - 1 :]])
-            held = [c[tail] for c in columns] if n else held
+            tail = np.flatnonzero(word == word[-1])[-CROWD:]
+            held = [c[tail] for c in columns]
 
     def made(kind, word, first, rest) -> pa.RecordBatch:
         n = len(word)
@@ -193,7 +197,7 @@ def verifier(t: float):
         for b in batches:
             good = []
             for digest, x, y in zip(*[c.to_pylist() for c in b.columns]):
-                x, y = (set(WORD.findall(v.translate(LETTERS))) for v in (x, y))
+                x, y = set(words(x)), set(words(y))
                 both = len(x & y)
                 if both >= t * (len(x) + len(y) - both) - 1e-9:
                     good.append(digest)
@@ -219,18 +223,18 @@ def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
 def removed_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, line of the lines that go."""
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    survey = stored(texts.mapInArrow(surveyor(least), "kind int, digest long, doc_id long, line int"))
     counts = np.zeros(COUNTERS, np.int64)
-    for r in survey.where("kind = 1").groupBy("digest").agg(F.sum("doc_id").alias("n")).toPandas().itertuples():
-        counts[r.digest] = r.n  # COUNTERS rows at most
-    levels = np.minimum(255, np.round(12 * np.log2(counts + 1))).astype(np.uint8)
+    for r in texts.select("text").mapInArrow(survey, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas().itertuples():
+        counts[r.counter] = r.n  # COUNTERS rows at most
+    levels = np.minimum(255, np.round(8 * np.log2(counts + 1))).astype(np.uint8)
     ranges = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     rows = texts.mapInArrow(prefixer(least, t, levels), PREFIX)
-    met = stored(rows.repartition(int(ranges), "word").sortWithinPartitions("word", "doc_id", "line").mapInArrow(meeter(t), MET))
+    met = stored(rows.repartition(int(ranges), "word").sortWithinPartitions("word", "size", "digest").mapInArrow(meeter(t), MET))
+    lines = met.where("kind = 2").select("digest", "doc_id", "line")
     pair = ["digest_a", "digest"]
     near = met.where("kind = 0").groupBy(*pair).agg(F.min(F.struct("doc_a", "line_a", "doc_id", "line")).alias("p")).select(*pair, "p.*")
     # A pair says which line goes once both classes' first places are known.
-    firsts = stored(survey.where("kind = 0").groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("p")).select("digest", "p.*"))
+    firsts = stored(lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("p")).select("digest", "p.*"))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         a = firsts.select(F.col("digest").alias("digest_a"), F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a"))
@@ -256,7 +260,7 @@ def removed_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WOR
         found = ordered(more).join(gone, "digest", "left_anti")
         gone = stored(gone.union(verified(texts, stored(found), t)).distinct())
     stay = firsts.join(gone, "digest", "left_anti")
-    return survey.where("kind = 0").select("doc_id", "line").distinct().join(stay, ["doc_id", "line"], "left_anti")
+    return lines.select("doc_id", "line").distinct().join(stay, ["doc_id", "line"], "left_anti")
 
 
 def without_repeats(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:

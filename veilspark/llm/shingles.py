@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
-from .common import LETTERS, WORDS
-
-WORD = re.compile(WORDS)
-SPACES = " \t\n\x0b\x0c\r"
 #: Words remembered by a worker; it only bounds memory.
-KNOWN = 500_000
+KNOWN = 800_000
 
 
 class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
         if len(self) < KNOWN:
             self[word] = h
         return h
@@ -26,16 +20,14 @@ class WordHashes(dict):
 hashes = WordHashes()
 
 
-def words(text: str | None) -> list[str]:
-    """Words, A-Z lower-cased (null: none)."""
-    if not text:
-        return []
-    text = text.translate(LETTERS) if not text.isascii() else text.lower()
-    # str.split also splits at these; they are word characters here.
-    return WORD.findall(text) if OTHER_SPACES.search(text) else text.split()
+def lowered(text: str) -> bytes:
+    """UTF-8 with A-Z lower-cased; bytes know only that case and only ASCII white space."""
+    return text.encode("utf-8", "surrogatepass").lower()
 
 
-OTHER_SPACES = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+def words(text: str | None) -> list[bytes]:
+    """Words, A-Z lower-cased (null: none)."""
+    return lowered(text).split() if text else []
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
