@@ -4,12 +4,14 @@ The kernel compares words by the character triples that they hold in order, with
 so stems, spaced-out and character-stuffed spellings stay near each other.  Landmarks are words of
 the training sentences; projected on them the machine is linear, and its landmark weights add up to
 one weight for each triple, so a word costs its own triples only.  A sentence is as toxic as its
-most toxic word, a text as its most toxic sentence.  Labels are of texts, so training first
+most toxic word; of a text the few most toxic words count together, as learned, for a single word
+may be like an insult by chance.  Labels are of texts, so training first
 chooses each toxic text's witnesses, then fits the machine to them.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import unicodedata
 from collections import Counter, defaultdict
@@ -28,6 +30,8 @@ ALPHABET, DECAY, SPAN, LANDMARKS = 48, 0.6, 6, 192
 TOXIC_ROWS, CLEAN_ROWS = 1200, 1500
 #: Clean words nearest to the witnesses that each turn of training adds to its examples.
 MINED = 1500
+#: Highest words of a text that count together, and the lowest margin that counts.
+TOP, LOWEST = 3, -1.5
 #: Words whose scores a worker remembers; it only bounds memory.
 KNOWN = 500_000
 #: A word longer than this is scored in overlapping pieces of this length.
@@ -132,17 +136,19 @@ def images(words: list[str]) -> np.ndarray:
 
 
 class Model:
-    """weights of triples, an offset, and the curve from margins to scores."""
+    """weights of triples and their offset; how a text's highest margins count, and the middle of
+    the curve from there to scores."""
 
-    def __init__(self, weights: np.ndarray, offset: float, slope: float = 4.0, middle: float = 0.0):
-        self.weights, self.offset, self.slope, self.middle = weights.astype(np.float32), offset, slope, middle
+    def __init__(self, weights: np.ndarray, offset: float, share: np.ndarray | None = None, middle: float = 0.0):
+        self.weights, self.offset, self.middle = weights.astype(np.float32), offset, middle
+        self.share = np.eye(1, TOP)[0] if share is None else share
         self.known: dict[str, float] = {}
 
     def __getstate__(self):
-        return self.weights, self.offset, self.slope, self.middle
+        return self.weights, self.offset, self.share, self.middle
 
     def __setstate__(self, state):
-        self.weights, self.offset, self.slope, self.middle = state
+        self.weights, self.offset, self.share, self.middle = state
         self.known = {}
 
     def margins(self, words: Iterable[str]) -> dict[str, float]:
@@ -158,13 +164,22 @@ class Model:
                 self.known.update(got)
         return {w: got[w] if w in got else self.known[w] for w in words}
 
-    def text_margins(self, texts: list[str | None]) -> list[float]:
-        held = [set(units(t)) for t in texts]
+    def highest(self, texts: list[str | None]) -> np.ndarray:
+        """The TOP highest margins of each text's words, as often as they stand there."""
+        held = [units(t) for t in texts]
         at = self.margins(set().union(*held)) if held else {}
-        return [max(map(at.__getitem__, h), default=-1.0) for h in held]
+        out = np.full((len(texts), TOP), LOWEST)
+        for row, words in zip(out, held):
+            best = heapq.nlargest(TOP, set(words), key=lambda w: (at[w], w))
+            found = [at[w] for w in best for _ in range(min(TOP, words.count(w)))][:TOP]
+            row[: len(found)] = np.clip(found, LOWEST, -LOWEST)
+        return out
+
+    def text_margins(self, texts: list[str | None]) -> np.ndarray:
+        return self.highest(texts) @ self.share
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        return [float(1 / (1 + np.exp(-self.slope * (m - self.middle)))) for m in self.text_margins(texts)]
+        return (1 / (1 + np.exp(-4 * (self.text_margins(texts) - self.middle)))).tolist()
 
 
 def fit(x: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 600, cost: float = 3000.0) -> tuple[np.ndarray, float]:
@@ -204,7 +219,7 @@ def landmarks(positive: list[str], negative: list[str]) -> list[str]:
 
 def first_witnesses(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
     """Each toxic text's words with character runs that many toxic and hardly any clean texts hold;
-    the word with the best run where there is none."""
+    where no text has such a word, each text's word with the best run."""
 
     def runs(word: str) -> set[str]:
         w = word.strip(".,;:!?\"'()[]{}|")
@@ -220,7 +235,7 @@ def first_witnesses(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
 
     def gain(run: str) -> float:
         p, n = in_toxic[run], in_clean[run] * scale
-        return p * np.log((p + 0.5) / (n + 0.5)) * (1 if p >= least and p > 15 * n else 1e-3) if p > n else 0.0
+        return p * np.log((p + 0.5) / (n + 0.5)) * (1 if p >= least and p > 3 * n else 1e-3) if p > n else 0.0
 
     known: dict[str, float] = {}
 
@@ -229,13 +244,14 @@ def first_witnesses(toxic: list[set[str]], clean: list[set[str]]) -> list[str]:
             known[word] = max(map(gain, runs(word)))
         return known[word]
 
-    strong = least * np.log(10)
-    return [w for t in toxic for w in ([w for w in sorted(t) if score(w) >= strong] or [max(t, key=lambda w: (score(w), w))])]
+    strong = max(15.0, least * np.log(10))
+    sure = [w for t in toxic for w in sorted(t) if score(w) >= strong]
+    return sure or [max(t, key=lambda w: (score(w), w)) for t in toxic]
 
 
 def train(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
     """Fits the machine to witnesses against clean words, again and again with the clean words that
-    it takes for witnesses; then places the curve between the labels' margins."""
+    it takes for witnesses; then weighs a text's highest words and places the curve between the labels."""
     held = [set(units(t)) for t in texts]
     toxic = [h for h, y in zip(held, labels) if y and h]
     clean = [h for h, y in zip(held, labels) if not y and h]
@@ -243,7 +259,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
         return Model(np.zeros(ALPHABET**3), -1.0)
     trim = lambda ws: [p for w in ws for p in pieces(w)[:1] if len(p) >= 2]
     in_toxic, in_clean = Counter(w for t in toxic for w in t), Counter(w for t in clean for w in t)
-    usual = lambda w: 15 * in_clean[w] * len(toxic) >= in_toxic[w] * len(clean)
+    usual = lambda w: 3 * in_clean[w] * len(toxic) >= in_toxic[w] * len(clean)
     witnesses = [w for w in first_witnesses(toxic, clean) if not usual(w)]
     if not witnesses:
         return Model(np.zeros(ALPHABET**3), -1.0)
@@ -266,8 +282,11 @@ def train(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
         negative = sorted(set(negative) | set(trim(hard[:MINED])))
         rest = hard[: 20 * MINED]  # later turns look for hard words among these
     model.known = {}
-    margins = np.array(model.text_margins(texts))
-    y = np.array(labels, bool)
+    top, y = model.highest(texts), np.array(labels, bool)
+    weights, _ = fit(top, np.where(y, 1.0, -1.0), np.ones(len(y)))
+    weights = np.maximum(weights, 0)
+    model.share = weights / weights.sum() if weights.sum() > 0 else model.share
+    margins = model.text_margins(texts)
     cuts = np.unique(margins)
     cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
     right = [(margins[y] > c).mean() + (margins[~y] <= c).mean() for c in cuts]
