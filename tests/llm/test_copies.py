@@ -50,6 +50,26 @@ def test_near_duplicates(spark):
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_a_star(spark):
+    """Copies near a common original but not near each other: all links go through it."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=8))
+    base = [word() for _ in range(704)]
+    rows = []
+    for k in range(400):
+        text = list(base)
+        for at in rng.sample(range(10, 694), 9):
+            text[at] = word()
+        rows.append((k, " ".join(text)))
+    rows.append((400, " ".join(base)))
+    sets = {k: set(shingle_set(t).tolist()) for k, t in rows}
+    links = [(a, b) for a in sets for b in sets if a > b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = roots(sets, links)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+    assert len(links) < 1000 and len(set(want.values())) < 40
+
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(400)]

@@ -1,10 +1,11 @@
 """Near-duplicate documents by an LSH forest.
 
 Each tree sorts the documents by its own sequence of min-hashes.  Neighbours in a sorted order
-that share a prefix of at least LEAST_DEPTH hashes are candidates; in a crowded region only the
-neighbours with the longest common prefixes are, which is a deeper prefix there.  Candidates are
-confirmed on their full shingle sets, so no link is wrong.  Documents with equal sets are one class
-from the start, and orders are cut into ranges, so no group of copies lands in one task.
+that share a prefix of at least LEAST_DEPTH hashes are candidates; in a crowded region at first only
+the neighbours with the longest common prefixes are.  Candidates are confirmed on their full shingle
+sets, so no link is wrong.  What a crowded region then still holds apart is compared in full, block by
+block.  Documents with equal sets are one class from the start, and orders are cut into ranges, so no
+group of copies lands in one task.
 """
 
 from __future__ import annotations
@@ -18,14 +19,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, components, stored
+from .common import Sieve, components, find, join_up, stored
 from .shingles import mix64, shingle_set
 
 #: Two documents of similarity 0.85 share no prefix of 4 in any of 24 trees once in 5e7 pairs.
 TREES, LEAST_DEPTH = 24, 4
-#: Rows of a region that are all paired; beyond, a row meets its NEAREST neighbours in the order
-#: (and the first of its region).
+#: Rows of a region that are all paired; beyond, a row at first meets its NEAREST neighbours in the
+#: order (and the first of its region).
 CROWD, NEAREST = 12, 2
+#: Rows of a crowded region that are compared with as many others at a time.
+BLOCK = 256
 #: How far below the threshold an estimate may lie for a pair to be confirmed: over 3.5 standard errors.
 SLACK = 0.13
 
@@ -56,16 +59,22 @@ def signer(length: int):
     return sign
 
 
+def keys_of(sig: np.ndarray) -> np.ndarray:
+    """Min-hashes by row, tree and depth -> each tree's first ones as one key."""
+    salt = np.arange(sig.shape[1], dtype=np.uint64) << np.uint64(32)
+    key = np.zeros(sig.shape[:2], np.uint64)
+    for k in range(LEAST_DEPTH):
+        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k] + salt)
+    return key
+
+
 def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, sig -> a row for each tree: its first hashes as one key, and the next ones."""
-    salt = np.arange(TREES, dtype=np.uint64) << np.uint64(32)
     for b in batches:
         for at in range(0, b.num_rows, 4096):
             part = b.slice(at, 4096)
             sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, TREES, LEAST_DEPTH).astype(np.uint64)
-            key = np.zeros(sig.shape[:2], np.uint64)
-            for k in range(LEAST_DEPTH):
-                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k] + salt)
+            key = keys_of(sig)
             after = np.roll(sig, -1, axis=1)
             deep = [((after[:, :, k] << np.uint64(32)) | after[:, :, k + 1]).astype(np.int64) for k in (0, 2)]
             ids = np.repeat(np.asarray(part.column(0)), TREES)
@@ -76,15 +85,15 @@ FOUND = "kind int, edge int, key long, d1 long, d2 long, id long, other long"
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows -> candidate pairs (kind 0), and the rows at both ends of this range (kind 1),
-    which meet those of the ranges beside it later."""
+    """Sorted rows -> candidate pairs (kind 0), the rows at both ends of this range (kind 1), which
+    meet those of the ranges beside it later, and the keys of crowded regions (kind 2)."""
     here = TaskContext.get().partitionId()
     region, key = [], None
     head: list[tuple] = []
     tail: list[tuple] = []
     seen = 0
     for b in batches:
-        pairs = []
+        pairs, crowded = [], []
         for row in zip(*[b.column(i).to_pylist() for i in range(4)]):
             if row[0] != key:
                 region, key, seen = [], row[0], 0
@@ -92,6 +101,8 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pairs += [(row[3], o) for o in near]
             region.append(row[3])
             seen += 1
+            if seen == CROWD + 1:
+                crowded.append(key)
             if seen > CROWD and len(region) > NEAREST + 1:
                 del region[1 : len(region) - NEAREST]
             if len(head) < NEAREST:
@@ -100,6 +111,7 @@ def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(tail) > NEAREST:
                 del tail[0]
         yield found(0, [(None, None, None, None, max(p), min(p)) for p in pairs if p[0] != p[1]])
+        yield found(2, [(None, k, None, None, None, None) for k in crowded])
     yield found(1, [(here, *row, None) for row in head] + [(here + 1, *row, None) for row in tail])
 
 
@@ -138,13 +150,80 @@ def confirmer(length: int, percent: int):
     return confirm
 
 
+def crowd_pairs(group: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of two blocks of a region -> a row and the later ones that it is likely similar to, in
+    other components and not met in a region of an earlier tree, where they are compared too."""
+    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(group.num_rows, -1)
+    keys = keys_of(sig.reshape(group.num_rows, -1, LEAST_DEPTH).astype(np.uint64)).view(np.int64)
+    root, block, one = np.asarray(group["root"]), np.asarray(group["block"]), group["i"][0] == group["j"][0]
+    tree = int(np.argmax(keys[0] == group["key"][0].as_py()))
+    for x in range(group.num_rows - 1):
+        y = np.arange(x + 1, group.num_rows)
+        y = y[(root[y] != root[x]) & (one | (block[y] != block[x]))]
+        y = y[(keys[y] == keys[x]).argmax(axis=1) == tree]
+        y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
+        if len(y):
+            yield x, y
+
+
+SENT = "key long, i long, j long, block long, id long, root long"
+
+
+def crowd_sifter(least: float):
+    def sift(group: pa.Table) -> pa.Table:
+        """Rows of two blocks -> those with a likely partner."""
+        use = np.zeros(group.num_rows, bool)
+        for x, y in crowd_pairs(group, least):
+            use[x] = use[y] = True
+        return group.select([c.split()[0] for c in SENT.split(", ")] + ["sig"]).filter(pa.array(use))
+
+    return sift
+
+
+def crowd_confirmer(length: int, percent: int, least: float):
+    def confirm(group: pa.Table) -> pa.Table:
+        """Rows of two blocks, with texts -> u, v: links enough to join what they join."""
+        ids, root = group["id"].to_pylist(), group["root"].to_pylist()
+        sets = [shingle_set(t, length) for t in group["text"].to_pylist()]
+        parent: dict[int, int] = {}
+        got = []
+        for x, ys in crowd_pairs(group, least):
+            for y in ys.tolist():
+                s, t = sets[x], sets[y]
+                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)) or find(parent, root[x]) == find(parent, root[y]):
+                    continue
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if 100 * both >= percent * (len(s) + len(t) - both):
+                    join_up(parent, root[x], root[y])
+                    got.append((ids[x], ids[y]))
+        return pa.table({"u": pa.array([g[0] for g in got], pa.int64()), "v": pa.array([g[1] for g in got], pa.int64())})
+
+    return confirm
+
+
+def crowd_links(crowd: DataFrame, sigs: DataFrame, joined: DataFrame, texts_of, length: int, percent: int) -> DataFrame:
+    """crowd (key, id): the rows of crowded regions -> u, v between the components (joined) that a
+    region holds.  Every pair in different ones meets: rows are dealt to blocks, and blocks meet."""
+    least = percent / 100 - SLACK
+    rows = crowd.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    split = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    split = split.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    dealt = rows.join(split, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = dealt.select("key", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root")
+    pair = ["key", "i", "j"]
+    likely = stored(sent.join(sigs.select(F.col("rep").alias("id"), "sig"), "id").select(*sent.columns, "sig").groupBy(*pair).applyInArrow(crowd_sifter(least), SENT + ", sig binary"))
+    full = likely.join(texts_of(likely.select("id").distinct()).withColumnRenamed("a", "id"), "id")
+    return full.groupBy(*pair).applyInArrow(crowd_confirmer(length, percent, least), "u long, v long")
+
+
 def classes_of(signed: DataFrame) -> DataFrame:
     """digest -> rep (smallest doc_id with that set) and its signature."""
     return signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig"))
 
 
-def candidates(classes: DataFrame, percent: int) -> DataFrame:
-    """a > b with their estimated similarity, for pairs that may be similar enough."""
+def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """a > b with their estimated similarity, for pairs that may be similar enough; and key, id of
+    the regions in which not all pairs were met: crowded ones, and those at the ends of ranges."""
     spark = classes.sparkSession
     rows = stored(classes.select("rep", "sig").mapInArrow(prefixes, "key long, d1 long, d2 long, id long"))
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
@@ -162,7 +241,8 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     pairs = swept.where("kind = 0").select(F.col("id").alias("a"), F.col("other").alias("b")).union(seams).distinct()
     sigs = classes.select("rep", "sig")
     both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(agreeing, "a long, b long, likely double").where(F.col("likely") >= percent / 100 - SLACK)
+    crowd = rows.join(swept.where("kind > 0").select("key").distinct(), "key", "left_semi").select("key", "id")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(agreeing, "a long, b long, likely double").where(F.col("likely") >= percent / 100 - SLACK), crowd
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
@@ -171,15 +251,21 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> Data
     Links join documents with 100 * intersection >= percent * union of their shingle sets.
     Documents without words or text have an empty set, link with nothing and are kept, as are rows
     without doc_id.  Rows that share a doc_id are one document.  A component is confirmed step by
-    step: first each class with its likeliest partner, then only pairs between different components.
+    step: first each class with its likeliest partner, then only pairs between different components,
+    then what crowded regions still hold apart.
     """
     signed = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signer(length), "doc_id long, n_shingles long, digest binary, sig binary"))
     classes = stored(classes_of(signed))
-    pairs = stored(candidates(classes, percent))
-    wanted = pairs.select("a").union(pairs.select("b")).distinct()
-    # Hardly any texts but the wanted ones are moved.
-    some = docs.select(F.col("doc_id").cast("long").alias("a"), "text").where(Sieve(wanted).holds(F.col("a")))
-    texts = stored(some.join(wanted, "a", "left_semi").dropDuplicates(["a"]))
+    pairs, crowd = candidates(classes, percent)
+    pairs, crowd = stored(pairs), stored(crowd)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        # Hardly any texts but the wanted ones are moved.
+        wanted = wanted.toDF("a")
+        some = docs.select(F.col("doc_id").cast("long").alias("a"), "text").where(Sieve(wanted).holds(F.col("a")))
+        return stored(some.join(wanted, "a", "left_semi").dropDuplicates(["a"]))
+
+    texts = texts_of(pairs.select("a").union(pairs.select("b")).distinct())
 
     def confirmed(some: DataFrame) -> DataFrame:
         full = some.select("a", "b").join(texts.withColumnRenamed("text", "text_a"), "a").join(texts.select(F.col("a").alias("b"), F.col("text").alias("text_b")), "b")
@@ -191,6 +277,9 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> Data
     apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = confirmed(apart)
     joined = components(first.union(more))
+    rest = stored(crowd_links(crowd, classes.select("rep", "sig"), joined, texts_of, length, percent))
+    if not rest.isEmpty():
+        joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest))
     found = classes.select("digest", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
