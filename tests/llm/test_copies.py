@@ -1,3 +1,4 @@
+import math
 import random
 from collections import defaultdict
 
@@ -70,6 +71,12 @@ def test_near_duplicates_of_a_star(spark):
     assert len(links) < 1000 and len(set(want.values())) < 40
 
 
+def test_slack_loses_hardly_any_pair():
+    n = neardup.TREES * neardup.LEAST_DEPTH
+    lost = sum(math.comb(n, k) * 0.85**k * 0.15 ** (n - k) for k in range(n + 1) if k / n < 0.85 - neardup.SLACK)
+    assert lost < 2e-8
+
+
 def test_line_dedup(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(400)]

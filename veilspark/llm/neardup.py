@@ -29,8 +29,9 @@ TREES, LEAST_DEPTH = 24, 4
 CROWD, NEAREST = 12, 2
 #: Rows of a crowded region that are compared with as many others at a time.
 BLOCK = 256
-#: How far below the threshold an estimate may lie for a pair to be confirmed: over 3.5 standard errors.
-SLACK = 0.13
+#: How far below the threshold an estimate may lie for a pair to be confirmed: over 6 standard errors
+#: (at 0.85 that loses a pair in less than 1e-8).
+SLACK = 0.25
 
 
 def signer(length: int):
