@@ -115,6 +115,12 @@ def test_line_dedup(spark):
     assert lines.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_finds_one_changed_word_in_nine(spark):
+    line = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(0, line), (1, line.replace("five", "other"))], "doc_id long, text string")
+    assert {r.doc_id: r._n_removed for r in lines.without_repeats(docs).collect()} == {0: 0, 1: 1}
+
+
 def test_sieve(spark):
     ids = spark.createDataFrame([(k * 977,) for k in range(500)], "id long")
     sieve = common.Sieve(ids)
