@@ -29,7 +29,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates; only those that may go are moved."""
-    gone = stored(neardup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct())
+    gone = stored(neardup.near_duplicates(docs, percent=80).where("NOT kept").select("doc_id").distinct())
     maybe = F.coalesce(Sieve(gone).holds(F.col("doc_id")) & F.col("doc_id").isNotNull(), F.lit(False))
     marked = docs.withColumn("_maybe", maybe)
     return marked.where("NOT _maybe").drop("_maybe").unionByName(marked.where("_maybe").drop("_maybe").join(gone, "doc_id", "left_anti"))

@@ -10,6 +10,7 @@ group of copies lands in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,13 @@ BLOCK = 256
 SLACK = 0.25
 
 
-def signer(length: int):
-    n = TREES * LEAST_DEPTH
+def trees_for(percent: int) -> int:
+    """Trees that miss a pair of this similarity no more often than TREES do at 0.85."""
+    return max(TREES, math.ceil(math.log(2.1e-8) / math.log(1 - (percent / 100) ** LEAST_DEPTH)))
+
+
+def signer(length: int, trees: int = TREES):
+    n = trees * LEAST_DEPTH
     rng = np.random.default_rng(20240601)
     mul = (rng.integers(1, 2**63, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
     add = rng.integers(0, 2**63, n, dtype=np.uint64)
@@ -74,11 +80,11 @@ def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 4096):
             part = b.slice(at, 4096)
-            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, TREES, LEAST_DEPTH).astype(np.uint64)
+            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(part.num_rows, -1, LEAST_DEPTH).astype(np.uint64)
             key = keys_of(sig)
             after = np.roll(sig, -1, axis=1)
             deep = [((after[:, :, k] << np.uint64(32)) | after[:, :, k + 1]).astype(np.int64) for k in (0, 2)]
-            ids = np.repeat(np.asarray(part.column(0)), TREES)
+            ids = np.repeat(np.asarray(part.column(0)), sig.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(deep[0].ravel()), pa.array(deep[1].ravel()), pa.array(ids)], names=["key", "d1", "d2", "id"])
 
 
@@ -255,7 +261,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> Data
     step: first each class with its likeliest partner, then only pairs between different components,
     then what crowded regions still hold apart.
     """
-    signed = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signer(length), "doc_id long, n_shingles long, digest binary, sig binary"))
+    signed = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signer(length, trees_for(percent)), "doc_id long, n_shingles long, digest binary, sig binary"))
     classes = stored(classes_of(signed))
     pairs, crowd = candidates(classes, percent)
     pairs, crowd = stored(pairs), stored(crowd)
