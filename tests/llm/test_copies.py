@@ -121,6 +121,12 @@ def test_line_dedup_finds_one_changed_word_in_nine(spark):
     assert {r.doc_id: r._n_removed for r in lines.without_repeats(docs).collect()} == {0: 0, 1: 1}
 
 
+def test_line_dedup_of_short_lines(spark):
+    docs = spark.createDataFrame([(0, "Read more\nShare\n\n"), (1, "read  more\n\nshare this"), (2, "more read\nSHARE\nread")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lines.without_repeats(docs).collect()}
+    assert got == {0: "Read more\nShare\n\n", 1: "\nshare this", 2: "read"}
+
+
 def test_sieve(spark):
     ids = spark.createDataFrame([(k * 977,) for k in range(500)], "id long")
     sieve = common.Sieve(ids)

@@ -22,8 +22,8 @@ from .common import Sieve, stored
 from .quality import let
 from .shingles import hashes, lowered, mix64, words
 
-#: Lines of fewer words are left alone.
-LEAST_WORDS = 5
+#: Lines of fewer words are left alone: those without any.
+LEAST_WORDS = 1
 SIMILARITY = 0.8
 #: Counters of the word order: hashed, so their number is fixed whatever the vocabulary.  Words that
 #: share one are ordered by hash; any order is exact, a rarer-first one is quick.
