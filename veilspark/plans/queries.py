@@ -188,6 +188,16 @@ def residual_lines(spark, sf_dir):
     return verify.residual_lines(table(spark, sf_dir, "documents"), "doc_id", "text", terms)
 
 
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+on_line AS (SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no, item_id AS subject_idx FROM l JOIN benchmark b ON contains(line, b.text))
+SELECT * FROM on_line UNION ALL SELECT doc_id, CAST(0 AS INTEGER) AS line_no, item_id AS subject_idx FROM (SELECT DISTINCT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))
+WHERE (doc_id, item_id) NOT IN (SELECT (doc_id, subject_idx) FROM on_line)""")
+def residual_items(spark, sf_dir):
+    """Whole benchmark texts: by line, and as line 0 where an item only stands across lines."""
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("subject_idx"), F.col("text").alias("term"))
+    return verify.residual_whole(table(spark, sf_dir, "documents"), "doc_id", "text", terms)
+
+
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def file_digest(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", files.file_digest(F.col("text").cast("binary")).alias("digest"))
