@@ -223,6 +223,17 @@ def plan_classify(spark, sf_dir):
     return docs.select("doc_id", protocol.page_type(F.col("t"), F.col("h")).alias("type"))
 
 
+@query(f"""SELECT doc_id, CASE WHEN contains(t, 'JUDGESDETAILSPERSKATER') THEN 'judges_details' WHEN contains(t, 'PANELOFJUDGES') THEN 'panel'
+WHEN NOT contains(t, 'PRINTED:') THEN CASE WHEN contains(h, 'PODIUM') THEN 'podium' ELSE 'other' END
+WHEN contains(t, 'RESULT') THEN CASE WHEN contains(t, 'SEGMENTSCORE') THEN 'segment_results' ELSE 'results' END ELSE 'other' END AS type
+FROM (SELECT doc_id, upper(regexp_replace(replace(text, 'pathetic', 'printed: result'), '\\s+', '', 'g')) AS t, upper(regexp_replace(replace(substr(text, 1, CAST(ceil(length(text) * {protocol.TOP}) AS INTEGER)), 'stupid', 'podium'), '\\s+', '', 'g')) AS h FROM documents)""")
+def plan_classify_share(spark, sf_dir):
+    """plan_classify with the top as a share of the text, as protocol.TOP is one of the page."""
+    share = F.substring(F.col("text"), F.lit(1), F.ceil(F.length("text") * protocol.TOP).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("pathetic"), F.lit("printed: result")).alias("t"), F.replace(share, F.lit("stupid"), F.lit("podium")).alias("h"))
+    return docs.select("doc_id", protocol.page_type(F.col("t"), F.col("h")).alias("type"))
+
+
 @query("""WITH a AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents), b AS (SELECT doc_id, unnest(string_split(replace(text, 'idiot', 'name'), ' ')) AS word FROM documents),
 d AS ((SELECT doc_id, word, 1 AS s FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) UNION ALL (SELECT doc_id, word, -1 FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)))
 SELECT doc_id, count(*) FILTER (s = 1) AS missing, count(*) FILTER (s = -1) AS added FROM d GROUP BY doc_id""")
