@@ -101,6 +101,19 @@ def test_mix(spark):
     assert mixing.mix_report(docs.limit(0)).count() == 0
 
 
+def test_mix_fills_past_a_long_document(spark):
+    """Short documents go on filling a last pass whose order meets a long one first."""
+    sizes = [1] * 100 + [30]
+    rows = [(k, "s", " ".join(["w"] * n)) for k, n in enumerate(sizes)] + [(200 + k, "t", "w") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for seed in (1, 2):
+        share = mixing.mix(docs, 4, seed, (1.0, 1.25)).where("source = 's'").selectExpr("sum(_size * size(_draws)) AS taken", "max(_target) AS target").first()
+        assert abs(share.taken - share.target) <= 1, (seed, share)
+    docs = mixing.F.array(*[mixing.F.struct(mixing.F.lit(k).alias("_nth"), mixing.F.lit(n).alias("_size")) for k, n in enumerate([50, *[1] * 20, 3])])
+    got = spark.range(1).select(mixing.fillers(mixing.F.lit(12.0), docs).alias("f")).first().f
+    assert got == list(range(1, 13))
+
+
 def test_shards_get_exact_quotas(spark):
     share = spark.createDataFrame([("a", 100), ("b", 37), (None, 3)], "source string, n long")
     got = mixing.shard_quotas(share, 7, 1).collect()

@@ -24,7 +24,7 @@ from .quality import WORD, let, times
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_PASSES = 3
 SHARDS = 32
-#: Documents that may fill what the last pass's order leaves open.
+#: Documents that are chosen to fill what the last pass's order leaves open, before all others that fit.
 FILLS = 4
 #: Documents about the last pass's end, at least, that it chooses from.
 CUT_DOCS = 64
@@ -173,6 +173,23 @@ def split_node(lo: Column, hi: Column, quota: Column, seed: int) -> Column:
     return F.when(hi - lo < 2, one).otherwise(let(F.floor((lo + hi) / 2).cast("long"), halves))
 
 
+def fillers(gap: Column, docs: Column) -> Column:
+    """Which documents (_nth, _size; in order) go into the gap: each that still fits, then the one, if
+    any, that comes nearer though it is longer than what is left."""
+    start = F.struct(gap.cast("double").alias("gap"), F.array().cast("array<int>").alias("got"))
+
+    def step(a: Column, d: Column) -> Column:
+        taken = F.struct((a["gap"] - d["_size"]).alias("gap"), F.concat(a["got"], F.array(d["_nth"])).alias("got"))
+        return F.when(d["_size"] <= a["gap"], taken).otherwise(a)
+
+    def last(a: Column) -> Column:
+        near = F.filter(docs, lambda d: ~F.array_contains(a["got"], d["_nth"]) & (F.abs(a["gap"] - d["_size"]) < a["gap"]))
+        best = F.array_min(F.transform(near, lambda d: F.struct(F.abs(a["gap"] - d["_size"]).alias("off"), d["_nth"].alias("nth"))))
+        return F.when(F.size(near) > 0, F.concat(a["got"], F.array(best["nth"]))).otherwise(a["got"])
+
+    return let(F.aggregate(docs, start, step), last)
+
+
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 1, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """docs with _size, _source_size, _target and _draws: one struct<shard, place> for each time
     that the mix takes the document (empty: left out).
@@ -198,7 +215,8 @@ def draw(rows: DataFrame, share: DataFrame, columns: list[str], blocks: int, sha
     spread = rows.join(of, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     cut = F.col("_block").between(F.col("low"), F.col("high"))
     # Only blocks about the end of a source's last pass look at their documents' order: whole
-    # documents while they fit, then, a few times, the one that comes nearest to what is missing.
+    # documents while they fit, then, a few times, the one that comes nearest to what is missing,
+    # then all others that still fit, in order, and one that comes nearer.
     inside = Window.partitionBy("source")
     order = inside.orderBy("_block", "_at", "doc_id", "_size")
     part = spread.where(cut).withColumn("_nth", F.row_number().over(order)).withColumn("_upto", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -210,7 +228,13 @@ def draw(rows: DataFrame, share: DataFrame, columns: list[str], blocks: int, sha
         part = part.withColumn("_best", F.min("_near").over(inside))
         part = part.withColumn("_more", F.col("_more") | F.coalesce(F.col("_best._nth") == F.col("_nth"), F.lit(False)))
         part = part.withColumn("_gap", F.col("_gap") - F.coalesce(F.col("_best._size"), F.lit(0)))
-    part = part.drop("_nth", "_upto", "_gap", "_near", "_best")
+    part = part.drop("_near", "_best")
+    open_ = part.where(~F.col("_more") & (F.col("_size") > 0) & (F.col("_gap") > 0))
+    open_ = open_.groupBy(F.col("source").alias("_of")).agg(F.max("_gap").alias("gap"), F.array_sort(F.collect_list(F.struct("_nth", "_size"))).alias("docs"))
+    open_ = open_.select("_of", fillers(F.col("gap"), F.col("docs")).alias("_fill"))
+    part = part.join(F.broadcast(open_), F.col("source").eqNullSafe(F.col("_of")), "left")
+    part = part.withColumn("_more", F.col("_more") | F.coalesce(F.array_contains("_fill", F.col("_nth")), F.lit(False)))
+    part = part.drop("_nth", "_upto", "_gap", "_of", "_fill")
     whole = spread.where(~cut).withColumn("_more", F.col("_block") < F.col("low"))
     taken = whole.unionByName(part)
     passes = F.col("passes") + F.col("_more").cast("long")
