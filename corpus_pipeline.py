@@ -23,8 +23,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that repeat earlier ones; n_chars follows the text."""
-    done = lines.without_repeats(docs).drop("_n_lines", "_n_removed")
-    return done.withColumn("n_chars", F.length("text").cast("long"))
+    return lines.without_repeats(docs, counts=None).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ def test_stages(spark, small, tmp_path):
     assert sorted(r.doc_id for r in kept[0].collect()) == sorted(r.doc_id for r in quality.quality_report(start, rules).where("kept").collect())
     texts = {r.doc_id: r for r in kept[1].collect()}
     assert len(texts) == kept[0].count() and all(r.n_chars == len(r.text) for r in texts.values())
-    long = Counter(frozenset(w) for r in texts.values() for _, w in lines.line_words(r.text, lines.LEAST_WORDS))
+    long = Counter(frozenset(w) for r in texts.values() for w in map(lines.words_of, r.text.encode().split(b"\n")) if w)
     assert max(long.values()) == 1
     sets = {k: set(shingle_set(r.text).tolist()) for k, r in texts.items()}
     left = {r.doc_id for r in kept[2].collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,6 +32,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(columns: list[str]) -> Callable[[str], str]:
+    """Names for columns of our own that none of these have (in any case)."""
+    mark = "_"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark += "_"
+    return lambda name: mark + name
+
+
 def find(parent: dict, x):
     root = x
     while parent.get(root, root) != root:

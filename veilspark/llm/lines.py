@@ -1,26 +1,31 @@
 """Line dedup as an exact set-similarity join.
 
-A line is its set of words.  Lines with equal sets are one class from the start.  All words have one
-global order, rare ones first; two lines of Jaccard similarity t or more share a word within short
-prefixes in that order, so only lines that meet at a prefix word are compared.  Pairs must pass the
-length filter, the positional filter (what the places of the shared word still allow) and a parity
-filter (64 bits whose differences are at most the words not shared); what passes is verified on the
-lines themselves.  A line goes if an earlier line has its set or is verified similar.
+A line is its set of words.  All words have one global order, rare ones first; two lines of Jaccard
+similarity t or more share a word within short prefixes in that order, so only lines that meet at a
+prefix word are compared.  Pairs must pass the length filter, the positional filter (what the places of
+the shared word still allow) and a parity filter (64 bits whose differences are at most the words not
+shared); what passes is verified on the lines themselves.  A line goes if an earlier line has its set or
+is verified similar.
+
+Rows travel as packed columns, a block for each task and bucket of words, so that a shuffle moves few
+large rows.  A word's lines are swept together; each line looks for its earliest partner, which is
+verified first.  Only lines that are not found similar to it though they have more partners, and words
+with over CROWD lines, go on to a second round: there lines meet at pairs of prefix words (similar
+lines share two of them), in blocks, and every partner is looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, stored
+from .common import SIEVE_BITS, Sieve, fresh, slots, stored
 from .quality import let
-from .shingles import hashes, lowered, mix64, words
+from .shingles import encoded, mix64, word_hashes
 
 #: Lines of fewer words are left alone: those without any.
 LEAST_WORDS = 1
@@ -28,108 +33,178 @@ SIMILARITY = 0.8
 #: Counters of the word order: hashed, so their number is fixed whatever the vocabulary.  Words that
 #: share one are ordered by hash; any order is exact, a rarer-first one is quick.
 COUNTERS = 1 << 18
-#: Rows of one word that meet each other at first, nearest sizes before others, and the partners of a
-#: row that are verified first.  What has more partners and is not found similar then, or stands
-#: among more rows, meets all others of its words in a second round.
-CROWD, FIRST = 1024, 3
-#: Words hashed and sorted together.
-CHUNK = 300_000
-
-
-def line_words(text: str, least: int) -> list[tuple[int, list[bytes]]]:
-    """(line number, words) of the lines with enough words."""
-    return [(k, w) for k, w in enumerate(map(bytes.split, lowered(text).split(b"\n"))) if len(w) >= least]
-
-
-class Sets:
-    """The word sets of some lines, flat and in the global order, without repeats."""
-
-    def __init__(self, lines: list[list[bytes]], counters: np.ndarray):
-        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
-        h = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lines)), np.uint64, int(sizes.sum()))
-        line = np.repeat(np.arange(len(lines)), sizes)
-        level = counters[h & np.uint64(COUNTERS - 1)]
-        key = (line.astype(np.uint64) << np.uint64(40)) | (level.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
-        order = np.argsort(key, kind="stable")
-        key, h, line = key[order], h[order], line[order]
-        if len(h) > 1 and ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():  # half hashes that tie
-            order = np.lexsort((h, key))
-            h, line = h[order], line[order]
-        first = np.ones(len(h), bool)
-        first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-        self.h, self.line = h[first], line[first]
-        self.sizes = np.bincount(self.line, minlength=len(lines))
-        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.int64)
-        self.digest = mix64(np.add.reduceat(mix64(self.h ^ np.uint64(0x5851F42D4C957F2D)), self.starts)) if len(lines) else np.empty(0, np.uint64)
+#: Lines of one word that are swept together; a word with more goes to the second round.
+CROWD = 4096
+#: Lines of a pair of words that meet as many others at a time in the second round.
+BLOCK = 1024
+#: Bytes of text whose lines are packed together by a task, and prefix rows of a bucket, about.
+RUN, BUCKET_ROWS = 6 << 20, 250_000
+#: Lines sorted together: their number takes 16 bits of a sort key.
+SORTED = 1 << 16
+
+
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of integers as one block, each in the fewest bytes that hold it."""
+    head, body = [len(columns[0])], []
+    for c in columns:
+        c = c.astype(np.int64, copy=False) if c.dtype != np.uint64 else c.view(np.int64)
+        low, high = (int(c.min()), int(c.max())) if len(c) else (0, 0)
+        kind = next(k for k in (1, 2, 4, 8) if high - low < 1 << 8 * k)
+        head += [low, kind]
+        body.append((c.view(np.uint64) - np.uint64(low & (2**64 - 1))).astype(f"u{kind}").tobytes())
+    return np.array(head, np.int64).tobytes() + b"".join(body)
+
+
+def unpack(block: bytes, n: int) -> list[np.ndarray]:
+    head = np.frombuffer(block, np.int64, 1 + 2 * n)
+    rows, at, out = int(head[0]), 8 * (1 + 2 * n), []
+    for low, kind in head[1:].reshape(n, 2).tolist():
+        out.append((np.frombuffer(block, f"u{kind}", rows, at).astype(np.uint64) + np.uint64(low & (2**64 - 1))).view(np.int64))
+        at += rows * kind
+    return out
+
+
+Pieces = list[tuple[int, int, bytes]]
+
+
+def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
+    """Document id, number of its first line and text of pieces, RUN bytes of them at a time; longer
+    texts are cut between lines."""
+    pieces, n = [], 0
+    for b in batches:
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            first, left = 0, encoded(text)
+            while left is not None:
+                cut = left.find(b"\n", RUN) if len(left) > RUN else -1
+                part, left = (left, None) if cut < 0 else (left[:cut], left[cut + 1 :])
+                pieces.append((doc, first, part))
+                first += part.count(b"\n") + 1
+                n += len(part)
+                if n >= RUN:
+                    yield pieces
+                    pieces, n = [], 0
+    if pieces:
+        yield pieces
+
+
+def numbered(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Document id and number of every line."""
+    each = np.fromiter((p[2].count(b"\n") + 1 for p in pieces), np.int64, len(pieces))
+    own = np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+    return np.repeat(np.array([p[0] for p in pieces], np.int64), each), own + np.repeat(np.array([p[1] for p in pieces], np.int64), each)
+
+
+class Lines:
+    """The lines of some texts that hold enough words, as sets of words in the global order.
+
+    A word's code is 8 bits for its rarity and 40 of its hash.
+    """
+
+    def __init__(self, pieces: Pieces, levels: np.ndarray, least: int):
+        joined = b"\n".join(p[2] for p in pieces)
+        h, starts = word_hashes(joined)
+        ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 10), len(joined))
+        upto = np.searchsorted(starts, ends)
+        sizes = np.diff(upto, prepend=0)
+        doc, number = numbered(pieces)
+        line = np.flatnonzero(sizes >= max(least, 1))
+        self.doc, self.number = doc[line], number[line]
+        words = np.repeat(sizes >= max(least, 1), sizes)
+        h, own = h[words], sizes[line]
+        code = (levels[h & np.uint64(COUNTERS - 1)].astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24))
+        parts, at = [], np.concatenate([[0], np.cumsum(own)])
+        for a in range(0, len(line), SORTED):
+            b = min(a + SORTED, len(line))
+            key = (np.repeat(np.arange(b - a, dtype=np.uint64), own[a:b]) << np.uint64(48)) | code[at[a] : at[b]]
+            key.sort()
+            key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+            parts.append(((key >> np.uint64(48)).astype(np.int64) + a, key & np.uint64(2**48 - 1)))
+        self.line, self.code = (np.concatenate(p) for p in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, np.uint64))
+        self.sizes = np.bincount(self.line, minlength=len(line))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        total = lambda salt: np.add.reduceat(mix64(self.code ^ np.uint64(salt)), self.starts) if len(line) else np.empty(0, np.uint64)
+        self.digest = total(0x5851F42D4C957F2D), total(0xD1342543DE82EF95)
 
     def parity(self) -> np.ndarray:
-        return np.bitwise_xor.reduceat(np.uint64(1) << (self.h >> np.uint64(58)), self.starts)
+        return np.bitwise_xor.reduceat(np.uint64(1) << (self.code & np.uint64(63)), self.starts)
 
     def places(self) -> np.ndarray:
-        return np.arange(len(self.h)) - self.starts[self.line]
+        return np.arange(len(self.code)) - self.starts[self.line]
 
+    def reach(self, t: float) -> np.ndarray:
+        """Length of each line's prefix; none where only equal sets are similar enough."""
+        return np.where(self.sizes >= t * (self.sizes + 1) - 1e-9, self.sizes - np.ceil(t * self.sizes - 1e-9).astype(np.int64) + 1, 0)
+
+    def firsts(self) -> np.ndarray:
+        """Whether a line is the first one here of its set."""
+        order = np.lexsort((self.number, self.doc, self.digest[1], self.digest[0]))
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([d[order][1:] != d[order][:-1] for d in self.digest], axis=0)
+        first = np.zeros(len(order), bool)
+        first[order[new]] = True
+        return first
 
-def chunks(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list[int], list[int], list[list[bytes]]]]:
-    """Document ids, line numbers and words of lines, about CHUNK words at a time."""
-    ids, numbers, words, n = [], [], [], 0
-    for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for k, w in line_words(text or "", least):
-                ids.append(doc)
-                numbers.append(k)
-                words.append(w)
-                n += len(w)
-                if n >= CHUNK:
-                    yield ids, numbers, words
-                    ids, numbers, words, n = [], [], [], 0
-    if ids:
-        yield ids, numbers, words
+
+def word_ids(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket, 32 bits within it, and both as one number.  Words that share them only meet needlessly."""
+    m = mix64(code)
+    bucket, key = ((m & np.uint64(0x7FFFFFFF)) % np.uint64(buckets)).astype(np.int64), (m >> np.uint64(32)).astype(np.int64)
+    return bucket, key, (key << 31) | bucket
 
 
 def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts -> counters and their words."""
+    """Texts -> blocks of word counts."""
     total = np.zeros(COUNTERS, np.int64)
+    for pieces in runs(batches):
+        h, _ = word_hashes(b"\n".join(p[2] for p in pieces))
+        total += np.bincount((h & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    part = COUNTERS // 64
+    yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([pack([total[k * part : (k + 1) * part]]) for k in range(64)], pa.binary())], names=["part", "block"])
+
+
+def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of word counts -> their sums."""
+    held: dict[int, np.ndarray] = {}
     for b in batches:
-        for text in b.column(0).to_pylist():
-            w = words(text)
-            h = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
-            np.add.at(total, (h & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-    at = np.flatnonzero(total)
-    for k in range(0, len(at), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 50_000]), pa.array(total[at[k : k + 50_000]])], names=["counter", "n"])
-
-
-PREFIX = "word long, doc_id long, line int, digest long, size int, place int, parity long"
-
-
-def prefixer(least: int, t: float, counters: np.ndarray):
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Lines -> a row for each prefix word, and one of size 0 for the line itself."""
-        seen: set[int] = set()
-        for ids, numbers, words in chunks(batches, least):
-            s = Sets(words, counters)
-            digest = s.digest.view(np.int64)
-            new = np.ones(len(words), bool)
-            for k, d in enumerate(digest.tolist()):
-                if d in seen:  # a copy in this task; the first one stands for it
-                    new[k] = False
-                elif len(seen) < 500_000:
-                    seen.add(d)
-            reach = s.sizes - np.ceil(t * s.sizes - 1e-9).astype(np.int64) + 1
-            place = s.places()
-            use = (place < reach[s.line]) & new[s.line]
-            line, parity = s.line[use], s.parity().view(np.int64)
-            ids, numbers = np.array(ids, np.int64), np.array(numbers, np.int32)
-            yield out(s.h[use].view(np.int64), ids[line], numbers[line], digest[line], s.sizes[line], place[use], parity[line])
-            none = np.zeros(len(ids), np.int64)
-            spread = mix64(s.digest ^ mix64(ids.view(np.uint64) + numbers.astype(np.uint64))).view(np.int64)
-            yield out(spread, ids, numbers, digest, none, none, none)
-
-    def out(word, ids, numbers, digest, size, place, parity) -> pa.RecordBatch:
-        arrays = [word, ids, numbers, digest, size.astype(np.int32), place.astype(np.int32), parity]
-        return pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=[c.split()[0] for c in PREFIX.split(", ")])
-
-    return prefix
+        for part, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            held[part] = held.get(part, 0) + unpack(block, 1)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([pack([v]) for v in held.values()], pa.binary())], names=["part", "block"])
+
+
+#: What a block holds: the first places of sets, prefix words, and places that go.
+FIRSTS, PREFIXES, GONE = 0, 1, 2
+COLUMNS = {FIRSTS: 4, PREFIXES: 7, GONE: 2}
+BLOCKS = "bucket int, kind int, block binary"
+
+
+def packer(t: float, least: int, levels: np.ndarray, buckets: int):
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts -> blocks, by bucket."""
+        for pieces in runs(batches):
+            s = Lines(pieces, levels, least)
+            if not len(s.doc):
+                continue
+            new = s.firsts()
+            out: list[tuple[int, int, bytes]] = []
+            if not new.all():
+                out.append((int(s.digest[0][0] % np.uint64(buckets)), GONE, pack([s.doc[~new], s.number[~new]])))
+            d1, d2 = s.digest
+            split(out, FIRSTS, (d1[new] % np.uint64(buckets)).astype(np.int64), [d1[new], d2[new], s.doc[new], s.number[new]])
+            use = (s.places() < s.reach(t)[s.line]) & new[s.line]
+            line = s.line[use]
+            bucket, key, _ = word_ids(s.code[use], buckets)
+            split(out, PREFIXES, bucket, [key, s.doc[line], s.number[line], s.sizes[line], s.places()[use], d1[line], s.parity()[line]])
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["bucket", "kind", "block"])
+
+    def split(out: list, kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> None:
+        order = np.argsort(bucket, kind="stable")
+        bucket, columns = bucket[order], [c[order] for c in columns]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
+            if b > a:
+                out.append((int(bucket[a]), kind, pack([c[a:b] for c in columns])))
+
+    return packs
 
 
 def passes(size_a, place_a, parity_a, size_b, place_b, parity_b, t: float) -> np.ndarray:
@@ -139,148 +214,288 @@ def passes(size_a, place_a, parity_a, size_b, place_b, parity_b, t: float) -> np
     return (np.minimum(size_a, size_b) >= t * np.maximum(size_a, size_b) - 1e-9) & (can >= need) & (np.bitwise_count((parity_a ^ parity_b).view(np.uint64)) <= size_a + size_b - 2 * need)
 
 
-MET = "kind int, word long, doc_a long, line_a int, digest_a long, doc_id long, line int, digest long, size int, place int, parity long"
+MET = "kind int, doc_a long, line_a int, doc_id long, line int, word long"
+#: What a row of MET is: a place that goes, a later line and the earliest one that it may be like, a crowded word.
+GOES, MEETS, CROWDED = 0, 1, 2
 
 
-def meeter(t: float):
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows by word and size -> pairs that pass (kind 0), rows that must meet all others of their
-        word (kind 1), and lines (kind 2)."""
-        held: list[np.ndarray] = []
+def sweeper(t: float, buckets: int):
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks sorted by bucket -> MET."""
+        bucket, held = None, Bucket()
         for b in batches:
-            new = [np.asarray(c) for c in b.columns]
-            line_row = new[4] == 0
-            if line_row.any():
-                yield made(2, new[0][line_row], None, [c[line_row] for c in new[1:]])
-                new = [c[~line_row] for c in new]
-            columns = [np.concatenate(c) for c in zip(held, new)] if held else new
-            kept = len(held[0]) if held else 0
-            word, doc, line, digest, size, place, parity = columns
-            n = len(word)
-            if not n:
-                continue
-            partners, crowd = np.zeros(n, np.int64), np.zeros(n, bool)
-            j = np.arange(kept, n)
-            for d in range(1, n):
-                j = j[j >= d]
-                j = j[(word[j] == word[j - d]) & (size[j - d] >= t * size[j] - 1e-9)]
-                if not len(j):
-                    break
-                if d > CROWD:
-                    crowd |= np.isin(word, word[j])
-                    break
-                ok = (digest[j] != digest[j - d]) & passes(size[j], place[j], parity[j], size[j - d], place[j - d], parity[j - d], t)
-                hit = j[ok]
-                partners[hit] += 1
-                more = hit[partners[hit] > FIRST]
-                crowd[more] = crowd[more - d] = True
-                few = hit[partners[hit] <= FIRST]
-                if len(few):
-                    yield made(0, word[few], (doc[few - d], line[few - d], digest[few - d]), [c[few] for c in columns[1:]])
-            # The first partners of rows with more must be met again by those beyond them.
-            if crowd.any():
-                yield made(1, word[crowd], None, [c[crowd] for c in columns[1:]])
-            tail = np.flatnonzero(word == word[-1])[-CROWD:]
-            held = [c[tail] for c in columns]
-
-    def made(kind, word, first, rest) -> pa.RecordBatch:
-        n = len(word)
-        a, la, da = first if first else (np.zeros(n, np.int64), np.zeros(n, np.int32), np.zeros(n, np.int64))
-        arrays = [np.full(n, kind, np.int32), word, a, la, da, *rest]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[c.split()[0] for c in MET.split(", ")])
-
-    return meet
+            for k, kind, block in zip(*[c.to_pylist() for c in b.columns]):
+                if k != bucket:
+                    yield from finish(held, bucket)
+                    bucket, held = k, Bucket()
+                if kind == GONE:
+                    yield met(GOES, *unpack(block, 2))
+                elif held.add(kind, block):
+                    yield met(GOES, *held.compact())
+        yield from finish(held, bucket)
+
+    def finish(held: Bucket, bucket: int | None) -> Iterator[pa.RecordBatch]:
+        if bucket is None:
+            return
+        yield met(GOES, *held.compact())
+        yield met(CROWDED, word=(held.many << 31) | bucket)
+        key, doc, line, size, place, digest, parity = held.columns(PREFIXES)
+        order = np.lexsort((size, key))
+        _, back, n = np.unique(key[order], return_inverse=True, return_counts=True)
+        order = order[n[back] > 1]
+        at = place_codes(doc, line)
+        best, partners = earliest(key[order], at[order], size[order], place[order], parity[order], t)
+        later = np.flatnonzero(partners > 0)
+        first, later, more = order[best[later]], order[later], partners[later] > 1
+        yield met(MEETS, doc[later], line[later], doc[first], line[first], np.where(more, (key[later] << 31) | bucket, -1))
+
+    return sweep
+
+
+class Bucket:
+    """Rows of a bucket; compact() leaves the first place of each set, and no words that are crowded."""
+
+    def __init__(self):
+        self.blocks: dict[int, list[list[np.ndarray]]] = {FIRSTS: [], PREFIXES: []}
+        self.rows, self.limit, self.many = 0, 8 * BUCKET_ROWS, np.empty(0, np.int64)
+
+    def add(self, kind: int, block: bytes) -> bool:
+        """Whether there are so many rows now that they need to be compacted."""
+        self.blocks[kind].append(unpack(block, COLUMNS[kind]))
+        self.rows += len(self.blocks[kind][-1][0])
+        return self.rows > self.limit
+
+    def columns(self, kind: int) -> list[np.ndarray]:
+        found = self.blocks[kind]
+        return [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * COLUMNS[kind]
+
+    def compact(self) -> tuple[np.ndarray, np.ndarray]:
+        """The places of sets but the first of each."""
+        d1, d2, doc, line = self.columns(FIRSTS)
+        order, first = leaders((d1, d2), doc, line)
+        gone = order[(doc[order] != doc[first]) | (line[order] != line[first])]
+        went = doc[gone], line[gone]
+        self.blocks[FIRSTS] = [[c[np.unique(first)] for c in (d1, d2, doc, line)]]
+        columns = self.columns(PREFIXES)
+        order, first = leaders(((columns[0] << 32) | columns[3], columns[5]), columns[1], columns[2])
+        columns = [c[np.unique(first)] for c in columns]
+        words, n = np.unique(columns[0], return_counts=True)
+        self.many = np.union1d(self.many, words[n > CROWD])
+        own = ~np.isin(columns[0], self.many)
+        self.blocks[PREFIXES] = [[c[own] for c in columns]]
+        self.rows = int(own.sum()) + len(self.blocks[FIRSTS][0][0])
+        self.limit = max(self.limit, 2 * self.rows)
+        return went
+
+
+def leaders(keys: tuple[np.ndarray, ...], doc: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows, and for each of them the row with its keys that has the earliest place."""
+    order = np.lexsort((place_codes(doc, line), *keys))
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
+    return order, order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+
+
+def place_codes(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the places, equal where they are."""
+    if not len(doc):
+        return doc
+    if (int(doc.max()) - int(doc.min()) + 1) * (int(line.max()) + 1) < 1 << 62:
+        return (doc - doc.min()) * (int(line.max()) + 1) + line
+    order = np.lexsort((line, doc))
+    step = np.zeros(len(order), np.int64)
+    step[1:] = (doc[order][1:] != doc[order][:-1]) | (line[order][1:] != line[order][:-1])
+    code = np.empty(len(order), np.int64)
+    code[order] = np.cumsum(step)
+    return code
+
+
+def earliest(key, at, size, place, parity, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows sorted by word and size: the earliest row that each may be like and is later than, and
+    how many such rows there are."""
+    n = len(key)
+    best, partners = np.full(n, -1), np.zeros(n, np.int64)
+    j = np.arange(n)
+    for d in range(1, n):
+        j = j[j >= d]
+        j = j[(key[j] == key[j - d]) & (size[j - d] >= t * size[j] - 1e-9)]
+        if not len(j):
+            break
+        ok = j[passes(size[j], place[j], parity[j], size[j - d], place[j - d], parity[j - d], t)]
+        if len(ok):
+            i = ok - d
+            for later, first in ((ok, i), (i, ok)):
+                use = at[first] < at[later]
+                later, first = later[use], first[use]
+                partners[later] += 1
+                nearer = (best[later] < 0) | (at[first] < at[best[later]])
+                best[later[nearer]] = first[nearer]
+    return best, partners
+
+
+def met(kind: int, doc=(), line=(), doc_a=None, line_a=None, word=None) -> pa.RecordBatch:
+    n = len(word) if word is not None else len(doc)
+    zero = np.zeros(n, np.int64)
+    arrays = [np.full(n, kind, np.int32), zero if doc_a is None else doc_a, (zero if line_a is None else line_a).astype(np.int32), doc if len(doc) else zero, (line if len(line) else zero).astype(np.int32), zero if word is None else word]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[c.split()[0] for c in MET.split(", ")])
+
+
+def place_ids(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """One number for a place, for sieves."""
+    return (mix64(doc.astype(np.int64).view(np.uint64)) + line.astype(np.int64).view(np.uint64)).view(np.int64)
+
+
+def in_sieve(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = slots(ids)
+    return (bits[at // 8] >> (7 - at % 8)) & 1 == 1
+
+
+def words_of(line: bytes) -> set[bytes]:
+    return set(line.lower().split())
+
+
+def similar(x: set, y: set, t: float) -> bool:
+    both = len(x & y)
+    return both >= t * (len(x) + len(y) - both) - 1e-9
 
 
 def verifier(t: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for digest, x, y in zip(*[c.to_pylist() for c in b.columns]):
-                x, y = set(words(x)), set(words(y))
-                both = len(x & y)
-                if both >= t * (len(x) + len(y) - both) - 1e-9:
-                    good.append(digest)
-            yield pa.RecordBatch.from_arrays([pa.array(good, pa.int64())], names=["digest"])
+            good = [(doc, line) for doc, line, x, y in zip(*[c.to_pylist() for c in b.columns]) if similar(words_of(x), words_of(y), t)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int32())], names=["doc_id", "line"])
 
     return verify
 
 
-def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """pairs of places -> digests of later lines that are similar enough to the earlier one."""
-    places = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).union(pairs.select("doc_id", "line")).distinct()
-    wanted = stored(places.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("wanted")))
-    split = F.split("text", "\n")
-    some = docs.select("doc_id", "text").where(Sieve(wanted.select("doc_id")).holds(F.col("doc_id")))  # hardly any others are moved
-    lines = stored(
-        some.join(wanted, "doc_id").dropDuplicates(["doc_id"])
-        .select("doc_id", F.explode(F.transform("wanted", lambda k: F.struct(k.alias("line"), F.get(split, k).alias("words")))).alias("l")).select("doc_id", "l.*")
-    )
-    full = pairs.select("digest", "doc_a", "line_a", "doc_id", "line").join(lines.select(F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a"), F.col("words").alias("words_a")), ["doc_a", "line_a"]).join(lines, ["doc_id", "line"])
-    return full.select("digest", "words_a", "words").mapInArrow(verifier(t), "digest long").distinct()
+def verified(texts: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """Pairs of places -> later places whose lines are similar enough to the earlier ones."""
+    places = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).union(pairs.select("doc_id", "line"))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place_ids(np.asarray(b.column(0)), np.asarray(b.column(1))))], names=["id"])
+
+    bits = Sieve(places.mapInArrow(marked, "id long")).bits
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts -> their lines that the sieve lets through: hardly any others are moved."""
+        for pieces in runs(batches):
+            doc, number = numbered(pieces)
+            hit = np.flatnonzero(in_sieve(bits, place_ids(doc, number))).tolist()
+            split = b"\n".join(p[2] for p in pieces).split(b"\n") if hit else []
+            rows = [(int(doc[k]), int(number[k]), split[k]) for k in hit]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "line", "words"])
+
+    lines = stored(texts.mapInArrow(wanted, "doc_id long, line int, words binary"))
+    first = lines.select(F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a"), F.col("words").alias("words_a"))
+    full = pairs.join(first, ["doc_a", "line_a"]).join(lines, ["doc_id", "line"])
+    return full.select("doc_id", "line", "words_a", "words").mapInArrow(verifier(t), "doc_id long, line int").distinct()
+
+
+CROWD_ROWS = "key long, doc_id long, line int, codes binary"
+
+
+def crowd_rows(t: float, least: int, levels: np.ndarray, buckets: int, bits: np.ndarray):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts -> a row for each pair of a prefix word that the sieve lets through and a later word
+        of a prefix one longer, with the line's words."""
+        for pieces in runs(batches):
+            s = Lines(pieces, levels, least)
+            if not len(s.doc):
+                continue
+            reach, place = s.reach(t), s.places()
+            held = np.flatnonzero((place < reach[s.line]) & s.firsts()[s.line] & in_sieve(bits, word_ids(s.code, buckets)[2]))
+            line = s.line[held]
+            after = np.minimum(reach[line] + 1, s.sizes[line]) - place[held] - 1  # words that may be the second one
+            one = np.ceil(t * s.sizes[line] - 1e-9) < 2
+            first = np.repeat(held, after)
+            second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(after) - after, after)
+            key = np.concatenate([mix64(mix64(s.code[first]) + s.code[second]), mix64(s.code[held[one]])]).view(np.int64)
+            line = np.concatenate([s.line[first], line[one]])
+            for at in range(0, len(key), 10_000):
+                some = line[at : at + 10_000]
+                codes = [s.code[a : a + n].tobytes() for a, n in zip(s.starts[some].tolist(), s.sizes[some].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 10_000]), pa.array(s.doc[some]), pa.array(s.number[some].astype(np.int32)), pa.array(codes, pa.binary())], names=[c.split()[0] for c in CROWD_ROWS.split(", ")])
+
+    return rows
+
+
+def crowd_checker(t: float):
+    def check(group: pa.Table) -> pa.Table:
+        """Lines of two blocks that share a pair of words -> those that are like an earlier one."""
+        order = np.lexsort((np.asarray(group["line"]), np.asarray(group["doc_id"])))
+        doc, line, block = (np.asarray(group[c])[order] for c in ("doc_id", "line", "block"))
+        codes = group["codes"].to_pylist()
+        sets = [np.frombuffer(codes[k], np.uint64) for k in order.tolist()]
+        size, at = np.array([len(s) for s in sets]), place_codes(doc, line)
+        parity = np.array([np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63))) for s in sets], np.uint64)
+        one, none, gone = group["i"][0] == group["j"][0], np.zeros(1, np.int64), []
+        for y in range(1, len(sets)):
+            x = np.flatnonzero((at[:y] < at[y]) & ((block[:y] != block[y]) | one))
+            x = x[passes(size[x], none, parity[x], size[y : y + 1], none, parity[y : y + 1], t)]
+            own = set(sets[y].tolist()) if len(x) else None
+            if any(similar(set(sets[k].tolist()), own, t) for k in x.tolist()):
+                gone.append(y)
+        return pa.table({"doc_id": pa.array(doc[gone], pa.int64()), "line": pa.array(line[gone].astype(np.int32), pa.int32())})
+
+    return check
+
+
+def second_round(texts: DataFrame, words: DataFrame, t: float, least: int, levels: np.ndarray, buckets: int) -> DataFrame:
+    """Places whose lines are like an earlier one with which they share one of these words."""
+    rows = stored(texts.mapInArrow(crowd_rows(t, least, levels, buckets, Sieve(words).bits), CROWD_ROWS))
+    blocks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "line"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "line", "codes")
+    return sent.groupBy("key", "i", "j").applyInArrow(crowd_checker(t), "doc_id long, line int").distinct()
 
 
 def removed_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
     """doc_id, line of the lines that go."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     counts = np.zeros(COUNTERS, np.int64)
-    for r in texts.select("text").mapInArrow(survey, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas().itertuples():
-        counts[r.counter] = r.n  # COUNTERS rows at most
+    part = COUNTERS // 64
+    for r in texts.mapInArrow(survey, "part int, block binary").repartition(64, "part").mapInArrow(tally, "part int, block binary").toLocalIterator():
+        counts[r["part"] * part : (r["part"] + 1) * part] = unpack(r["block"], 1)[0]
     levels = np.minimum(255, np.round(8 * np.log2(counts + 1))).astype(np.uint8)
-    ranges = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows = texts.mapInArrow(prefixer(least, t, levels), PREFIX)
-    met = stored(rows.repartition(int(ranges), "word").sortWithinPartitions("word", "size", "digest").mapInArrow(meeter(t), MET))
-    lines = met.where("kind = 2").select("digest", "doc_id", "line")
-    pair = ["digest_a", "digest"]
-    near = met.where("kind = 0").groupBy(*pair).agg(F.min(F.struct("doc_a", "line_a", "doc_id", "line")).alias("p")).select(*pair, "p.*")
-    # A pair says which line goes once both classes' first places are known.
-    firsts = stored(lines.groupBy("digest").agg(F.min(F.struct("doc_id", "line")).alias("p")).select("digest", "p.*"))
-
-    def ordered(pairs: DataFrame) -> DataFrame:
-        a = firsts.select(F.col("digest").alias("digest_a"), F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a"))
-        both = pairs.select(*pair).join(a, "digest_a").join(firsts, "digest")
-        swap = F.struct("doc_id", "line") < F.struct("doc_a", "line_a")
-        pick = lambda x, y: F.when(swap, F.col(x)).otherwise(F.col(y))
-        return both.select(pick("digest_a", "digest").alias("digest"), pick("digest", "digest_a").alias("digest_a"), pick("doc_id", "doc_a").alias("doc_a"), pick("line", "line_a").alias("line_a"), pick("doc_a", "doc_id").alias("doc_id"), pick("line_a", "line").alias("line"))
-
-    gone = stored(verified(texts, stored(ordered(near)), t))
-    crowded = met.where("kind = 1").select("word", "digest", "size", "place", "parity").distinct()
-    if not crowded.isEmpty():
-        crowded = stored(crowded)
-        left = crowded.join(gone, "digest", "left_anti")
-        other = crowded.select("word", *[F.col(c).alias(f"{c}_a") for c in ("digest", "size", "place", "parity")])
-        need = (F.col("size") + F.col("size_a")) * (t / (1 + t)) - 1e-9
-        fits = (
-            (F.col("digest") != F.col("digest_a"))
-            & (F.least("size", "size_a") >= t * F.greatest("size", "size_a") - 1e-9)
-            & (F.least(F.col("size") - F.col("place"), F.col("size_a") - F.col("place_a")) >= need)
-            & (F.bit_count(F.col("parity").bitwiseXOR(F.col("parity_a"))) <= F.col("size") + F.col("size_a") - 2 * need)
-        )
-        more = left.join(other, "word").where(fits).select(*pair).distinct().join(near.select(*pair), pair, "left_anti")
-        found = ordered(more).join(gone, "digest", "left_anti")
-        gone = stored(gone.union(verified(texts, stored(found), t)).distinct())
-    stay = firsts.join(gone, "digest", "left_anti")
-    return lines.select("doc_id", "line").distinct().join(stay, ["doc_id", "line"], "left_anti")
-
-
-def without_repeats(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WORDS) -> DataFrame:
-    """docs with _n_lines, _n_removed and text without its removed lines.
-
-    Lines are in order of doc_id and place.  Lines of fewer than `least` words stay.  Null texts
-    stay null; rows without doc_id stay as they are and match nothing; rows that share a doc_id are
-    one document, of which each line number counts once.
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
+    buckets = max(ranges, int(counts.sum() * (1 - t)) // BUCKET_ROWS)
+    blocks = texts.mapInArrow(packer(t, least, levels, buckets), BLOCKS)
+    all_met = stored(blocks.repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(sweeper(t, buckets), MET))
+    place = ["doc_id", "line"]
+    pairs = all_met.where(F.col("kind") == MEETS)
+    near = stored(pairs.select("doc_a", "line_a", *place).distinct())
+    gone = stored(all_met.where(F.col("kind") == GOES).select(*place).union(verified(texts, near, t)).distinct())
+    words = pairs.where("word >= 0").join(gone, place, "left_anti").select("word").union(all_met.where(F.col("kind") == CROWDED).select("word"))
+    words = stored(words.distinct())
+    if words.isEmpty():
+        return gone
+    return stored(gone.union(second_round(texts, words, t, least, levels, buckets)).distinct())
+
+
+def without_repeats(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WORDS, counts: tuple[str, str] | None = ("_n_lines", "_n_removed")) -> DataFrame:
+    """docs, text without its removed lines, with two counts (long) under the names given: a text's
+    lines (null: 0) and those removed.
+
+    Lines are in order of doc_id and place.  Lines of fewer than `least` words stay.  Null texts stay
+    null; rows without doc_id stay as they are and match nothing.  Rows that share a doc_id are one
+    document: its k-th lines are one place and no repeats of each other, and go in all its rows as soon as
+    one of them is like an earlier line.  Other columns may have any names; no rows give no rows.
     """
-    gone = stored(removed_lines(docs, t, least).groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_list("line")).alias("_gone")))
+    name = fresh(docs.columns)
+    gone = stored(removed_lines(docs, t, least).groupBy(F.col("doc_id").alias(name("id"))).agg(F.sort_array(F.collect_list("line")).alias(name("gone"))))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     lines = F.split("text", "\n", -1)
-    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).alias("_n_lines")
+    n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
     # Only documents that may lose lines are moved.
-    touched = docs.withColumn("_touched", Sieve(gone.select("_id")).holds(F.col("doc_id").cast("long")) & F.col("doc_id").isNotNull())
-    whole = touched.where(~F.col("_touched")).select(*columns, n_lines, F.lit(0).alias("_n_removed"))
-    joined = touched.where("_touched").drop("_touched").join(gone, F.col("doc_id") == F.col("_id"), "left")
-    none = F.array().cast("array<int>")
-    numbers = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.coalesce("_gone", none))
-    left = let(lines, lambda x: F.array_join(F.transform(numbers(x), lambda k: F.get(x, k)), "\n"))
-    text = F.when(F.size(F.coalesce("_gone", none)) > 0, left).otherwise(F.col("text"))
-    cut = joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], n_lines, F.size(F.coalesce("_gone", none)).alias("_n_removed"))
-    return whole.unionByName(cut)
+    touched = docs.withColumn(name("may"), F.coalesce(Sieve(gone.select(name("id"))).holds(F.col("doc_id").cast("long")) & F.col("doc_id").isNotNull(), F.lit(False)))
+    joined = touched.where(name("may")).join(gone, F.col("doc_id").cast("long") == F.col(name("id")), "left")
+    places = F.filter(F.coalesce(name("gone"), F.array().cast("array<int>")), lambda k: k < F.size(lines))
+    keep = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(name("gone")))
+    left = let(lines, lambda x: F.array_join(F.transform(keep(x), lambda k: F.get(x, k)), "\n"))
+    text = F.when(F.size(places) > 0, left).otherwise(F.col("text")).alias("text")
+    with_counts = lambda n: [] if counts is None else [n_lines.alias(counts[0]), n.cast("long").alias(counts[1])]
+    whole = touched.where(~F.col(name("may"))).select(*columns, *with_counts(F.lit(0)))
+    cut = joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], *with_counts(F.coalesce(F.size(places), F.lit(0))))
+    return whole.unionAll(cut)

@@ -64,8 +64,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = lines.without_repeats(table(spark, sf_dir, "documents"))
-    return done.selectExpr("doc_id", "_n_lines AS n_lines", "_n_removed AS n_removed", "text")
+    return lines.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=("n_lines", "n_removed"))
 
 
 def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
