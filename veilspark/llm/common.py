@@ -32,6 +32,13 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of at most so many rows: it bounds what a worker holds as objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def fresh(columns: list[str]) -> Callable[[str], str]:
     """Names for columns of our own that none of these have (in any case)."""
     mark = "_"

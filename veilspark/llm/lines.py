@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SIEVE_BITS, Sieve, fresh, slots, stored
+from .common import Sieve, fresh, slices, slots, stored
 from .quality import let
 from .shingles import encoded, mix64, word_hashes
 
@@ -71,7 +71,7 @@ def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[Pieces]:
     """Document id, number of its first line and text of pieces, RUN bytes of them at a time; longer
     texts are cut between lines."""
     pieces, n = [], 0
-    for b in batches:
+    for b in slices(batches):
         for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             first, left = 0, encoded(text)
             while left is not None:

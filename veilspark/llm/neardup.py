@@ -1,11 +1,11 @@
 """Near-duplicate documents by an LSH forest.
 
-Each tree sorts the documents by its own sequence of min-hashes.  Neighbours in a sorted order
-that share a prefix of at least LEAST_DEPTH hashes are candidates; in a crowded region at first only
-the neighbours with the longest common prefixes are.  Candidates are confirmed on their full shingle
-sets, so no link is wrong.  What a crowded region then still holds apart is compared in full, block by
-block.  Documents with equal sets are one class from the start, and orders are cut into ranges, so no
-group of copies lands in one task.
+Each tree sorts the documents by its own sequence of min-hashes.  Rows that share a prefix of LEAST_DEPTH
+hashes are a region.  All pairs of a small region are candidates; a crowded one is cut deeper, hash by
+hash, until its parts are small, and its rows also meet the neighbours with the longest common prefixes.
+Candidates are confirmed on their full shingle sets, so no link is wrong.  What a crowded region then
+still holds apart is compared in full, block by block, so none is lost.  Documents with equal sets are
+one class from the start, and orders are cut into ranges, so no group of copies lands in one task.
 """
 
 from __future__ import annotations
@@ -16,20 +16,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, components, find, join_up, stored
-from .shingles import mix64, shingle_set
+from .common import Sieve, components, find, join_up, slices, stored
+from .shingles import mix64, shingle_sets
 
 #: Two documents of similarity 0.85 share no prefix of 4 in any of 24 trees once in 5e7 pairs.
 TREES, LEAST_DEPTH = 24, 4
-#: Rows of a region that are all paired; beyond, a row at first meets its NEAREST neighbours in the
-#: order (and the first of its region).
+#: Hashes of a tree's sequence: so deep may crowded regions be cut.
+DEPTH = 6
+#: Rows of a region that are all paired, and the neighbours that a row of a crowded one meets at least.
 CROWD, NEAREST = 12, 2
 #: Rows of a crowded region that are compared with as many others at a time.
 BLOCK = 256
+#: Shingles of two blocks that are looked at together.
+COLUMNS = 4096
 #: How far below the threshold an estimate may lie for a pair to be confirmed: over 6 standard errors
 #: (at 0.85 that loses a pair in less than 1e-8).
 SLACK = 0.25
@@ -41,91 +43,101 @@ def trees_for(percent: int) -> int:
 
 
 def signer(length: int, trees: int = TREES):
-    n = trees * LEAST_DEPTH
+    n = trees * DEPTH
     rng = np.random.default_rng(20240601)
-    mul = (rng.integers(1, 2**63, n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-    add = rng.integers(0, 2**63, n, dtype=np.uint64)
+    mul = rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1)
+    add = rng.integers(0, 2**32, n, dtype=np.uint32)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, size, digest, sig = b.column(0).to_pylist(), [], [], []
-            for text in b.column(1).to_pylist():
-                s = shingle_set(text, length)
+        for b in slices(batches):
+            size, digest, sig = [], [], []
+            for s in shingle_sets(b.column(1).to_pylist(), length):
                 size.append(len(s))
                 if not len(s):
                     digest.append(None)
                     sig.append(None)
                     continue
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(s), 2048):
-                    np.minimum(low, (s[at : at + 2048, None] * mul + add).min(axis=0), out=low)
-                sig.append((mix64(low) >> np.uint64(32)).astype(np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
+                h = (s >> np.uint64(32)).astype(np.uint32)
+                low = np.full(n, np.iinfo(np.uint32).max, np.uint32)
+                for at in range(0, len(h), 1024):
+                    np.minimum(low, (h[at : at + 1024, None] * mul + add).min(axis=0), out=low)
+                sig.append(low.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "digest", "sig"])
 
     return sign
 
 
-def keys_of(sig: np.ndarray) -> np.ndarray:
-    """Min-hashes by row, tree and depth -> each tree's first ones as one key."""
-    salt = np.arange(sig.shape[1], dtype=np.uint64) << np.uint64(32)
-    key = np.zeros(sig.shape[:2], np.uint64)
-    for k in range(LEAST_DEPTH):
-        key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k] + salt)
-    return key
-
-
 def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, sig -> a row for each tree: its first hashes as one key, and the next ones."""
-    for b in batches:
-        for at in range(0, b.num_rows, 4096):
-            part = b.slice(at, 4096)
-            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(part.num_rows, -1, LEAST_DEPTH).astype(np.uint64)
-            key = keys_of(sig)
-            after = np.roll(sig, -1, axis=1)
-            deep = [((after[:, :, k] << np.uint64(32)) | after[:, :, k + 1]).astype(np.int64) for k in (0, 2)]
-            ids = np.repeat(np.asarray(part.column(0)), sig.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(deep[0].ravel()), pa.array(deep[1].ravel()), pa.array(ids)], names=["key", "d1", "d2", "id"])
+    for b in slices(batches, 4096):
+        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, -1, DEPTH).astype(np.uint64)
+        key = np.broadcast_to(np.arange(sig.shape[1], dtype=np.uint64), sig.shape[:2])
+        for k in range(LEAST_DEPTH):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, k])
+        deep = (sig[:, :, LEAST_DEPTH] << np.uint64(32)) | sig[:, :, LEAST_DEPTH + 1]
+        ids = np.repeat(np.asarray(b.column(0)), sig.shape[1])
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(deep.view(np.int64).ravel()), pa.array(ids)], names=["key", "deep", "id"])
 
 
-FOUND = "kind int, edge int, key long, d1 long, d2 long, id long, other long"
+FOUND = "kind int, key long, id long, other long"
+#: What a row of FOUND is: a candidate pair, or the key of a region in which not all pairs were met.
+PAIR, REGION = 0, 1
 
 
 def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows -> candidate pairs (kind 0), the rows at both ends of this range (kind 1), which
-    meet those of the ranges beside it later, and the keys of crowded regions (kind 2)."""
-    here = TaskContext.get().partitionId()
-    region, key = [], None
-    head: list[tuple] = []
-    tail: list[tuple] = []
-    seen = 0
+    """Sorted rows -> FOUND.  The regions at both ends of this range may go on beside it."""
+    held = [np.empty(0, np.int64)] * 3
+    first = last = None
     for b in batches:
-        pairs, crowded = [], []
-        for row in zip(*[b.column(i).to_pylist() for i in range(4)]):
-            if row[0] != key:
-                region, key, seen = [], row[0], 0
-            near = region if seen < CROWD else [region[0], *region[-NEAREST:]]
-            pairs += [(row[3], o) for o in near]
-            region.append(row[3])
-            seen += 1
-            if seen == CROWD + 1:
-                crowded.append(key)
-            if seen > CROWD and len(region) > NEAREST + 1:
-                del region[1 : len(region) - NEAREST]
-            if len(head) < NEAREST:
-                head.append(row)
-            tail.append(row)
-            if len(tail) > NEAREST:
-                del tail[0]
-        yield found(0, [(None, None, None, None, max(p), min(p)) for p in pairs if p[0] != p[1]])
-        yield found(2, [(None, k, None, None, None, None) for k in crowded])
-    yield found(1, [(here, *row, None) for row in head] + [(here + 1, *row, None) for row in tail])
-
-
-def found(kind: int, rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [()] * 6
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows), pa.int32()), *[pa.array(c, t) for c, t in zip(columns, types)]], names=["kind", "edge", "key", "d1", "d2", "id", "other"])
+        if not b.num_rows:
+            continue
+        columns = [np.concatenate([h, np.asarray(c)]) for h, c in zip(held, b.columns)]
+        first, last = columns[0][0] if first is None else first, columns[0][-1]
+        # The last region waits for the rest of it, unless it is long: then it is cut here, as crowded.
+        tail = len(columns[0]) - int((columns[0] == last).sum())
+        if len(columns[0]) - tail > 20_000:
+            yield found(REGION, [last])
+            tail = len(columns[0])
+        held = [c[tail:] for c in columns]
+        yield from met(*[c[:tail] for c in columns])
+    yield from met(*held)
+    if first is not None:
+        yield found(REGION, sorted({first, last}))
+
+
+def met(key: np.ndarray, deep: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of whole regions, in order -> FOUND."""
+    n = len(key)
+    if not n:
+        return
+    part = [np.ones(n, bool) for _ in range(3)]  # where a region begins, at each depth
+    part[0][1:] = key[1:] != key[:-1]
+    part[1][1:] = part[0][1:] | ((deep[1:] >> 32) != (deep[:-1] >> 32))
+    part[2][1:] = part[0][1:] | (deep[1:] != deep[:-1])
+    label = [np.cumsum(p) for p in part]
+    small = [np.bincount(x)[x] <= CROWD for x in label]
+    pairs, j = [], np.arange(n)
+    for d in range(1, CROWD):
+        j = j[j >= d]
+        j = j[label[0][j] == label[0][j - d]]
+        use = np.full(len(j), d <= NEAREST)
+        for x, s in zip(label, small):
+            use |= s[j] & (x[j] == x[j - d])
+        pairs.append((j[use], j[use] - d))
+    crowded = np.flatnonzero(~small[0])
+    start = np.maximum.accumulate(np.where(part[0], np.arange(n), 0))
+    pairs.append((crowded, start[crowded]))
+    x, y = (ids[np.concatenate(p)] for p in zip(*pairs))
+    high, low = np.maximum(x, y), np.minimum(x, y)
+    yield found(PAIR, np.zeros(int((x != y).sum()), np.int64), high[x != y], low[x != y])
+    yield found(REGION, np.unique(key[crowded]))
+
+
+def found(kind: int, key, ids=None, other=None) -> pa.RecordBatch:
+    none = np.zeros(len(key), np.int64)
+    arrays = [np.full(len(key), kind, np.int32), np.asarray(key, np.int64), none if ids is None else ids, none if other is None else other]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=[c.split()[0] for c in FOUND.split(", ")])
 
 
 def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,91 +148,85 @@ def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x == y).mean(axis=1))], names=["a", "b", "likely"])
 
 
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def confirmer(length: int, percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """a, b, text_a, text_b -> u, v of those similar enough on their full sets."""
-        known: dict[int, np.ndarray] = {}
-        for b in batches:
-            got = []
-            for x, y, tx, ty in zip(*[b.column(i).to_pylist() for i in range(4)]):
-                for k, t in ((x, tx), (y, ty)):
-                    if k not in known:
-                        if len(known) > 200:
-                            known.clear()
-                        known[k] = shingle_set(t, length)
-                s, t = (known.get(k) if k in known else shingle_set(w, length) for k, w in ((x, tx), (y, ty)))
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    got.append((x, y))
+        for b in slices(batches, 256):
+            x, y, tx, ty = (c.to_pylist() for c in b.columns)
+            texts = list(dict.fromkeys([*tx, *ty]))
+            sets = dict(zip(texts, shingle_sets(texts, length)))
+            got = [(p, q) for p, q, s, t in zip(x, y, tx, ty) if alike(sets[s], sets[t], percent)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["u", "v"])
 
     return confirm
 
 
-def crowd_pairs(group: pa.Table, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """Rows of two blocks of a region -> a row and the later ones that it is likely similar to, in
-    other components and not met in a region of an earlier tree, where they are compared too."""
-    sig = np.frombuffer(b"".join(group["sig"].to_pylist()), np.uint32).reshape(group.num_rows, -1)
-    keys = keys_of(sig.reshape(group.num_rows, -1, LEAST_DEPTH).astype(np.uint64)).view(np.int64)
-    root, block, one = np.asarray(group["root"]), np.asarray(group["block"]), group["i"][0] == group["j"][0]
-    tree = int(np.argmax(keys[0] == group["key"][0].as_py()))
-    for x in range(group.num_rows - 1):
-        y = np.arange(x + 1, group.num_rows)
-        y = y[(root[y] != root[x]) & (one | (block[y] != block[x]))]
-        y = y[(keys[y] == keys[x]).argmax(axis=1) == tree]
-        y = y[(sig[y] == sig[x]).mean(axis=1) >= least]
-        if len(y):
-            yield x, y
-
-
-SENT = "key long, i long, j long, block long, id long, root long"
-
-
-def crowd_sifter(least: float):
-    def sift(group: pa.Table) -> pa.Table:
-        """Rows of two blocks -> those with a likely partner."""
-        use = np.zeros(group.num_rows, bool)
-        for x, y in crowd_pairs(group, least):
-            use[x] = use[y] = True
-        return group.select([c.split()[0] for c in SENT.split(", ")] + ["sig"]).filter(pa.array(use))
-
-    return sift
-
-
-def crowd_confirmer(length: int, percent: int, least: float):
+def shared(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of these sets shares with each of the others."""
+    both = [*sets, *others]
+    row = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    _, column, n = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    wanted = np.cumsum(n > 1) - 1  # what one set alone holds is shared with none
+    row, column = row[n[column] > 1], wanted[column[n[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(others)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        table = np.zeros((len(both), COLUMNS), np.float32)
+        table[row[a:b], column[a:b] - at] = 1
+        out += table[: len(sets)] @ table[len(sets) :].T
+    return out
+
+
+def crowd_confirmer(percent: int):
     def confirm(group: pa.Table) -> pa.Table:
-        """Rows of two blocks, with texts -> u, v: links enough to join what they join."""
-        ids, root = group["id"].to_pylist(), group["root"].to_pylist()
-        sets = [shingle_set(t, length) for t in group["text"].to_pylist()]
+        """Rows of two blocks of a region, with their sets -> u, v: links enough to join what they join."""
+        ids, root = np.asarray(group["id"]), np.asarray(group["root"])
+        side = np.asarray(group["side"])
+        sets = [np.frombuffer(s, np.uint64) for s in group["shingles"].to_pylist()]
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(y):  # a block with itself
+            y = x
+        if not len(x):
+            x = y
+        size = np.array([len(s) for s in sets], np.int64)
+        both = shared([sets[k] for k in x], [sets[k] for k in y]).astype(np.int64)
+        hits = np.argwhere((100 * both >= percent * (size[x][:, None] + size[y][None] - both)) & (root[x][:, None] != root[y][None]))
         parent: dict[int, int] = {}
-        got = []
-        for x, ys in crowd_pairs(group, least):
-            for y in ys.tolist():
-                s, t = sets[x], sets[y]
-                if 100 * min(len(s), len(t)) < percent * max(len(s), len(t)) or find(parent, root[x]) == find(parent, root[y]):
-                    continue
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                if 100 * both >= percent * (len(s) + len(t) - both):
-                    join_up(parent, root[x], root[y])
-                    got.append((ids[x], ids[y]))
+        got = [(int(ids[x[i]]), int(ids[y[j]])) for i, j in hits.tolist() if join_up(parent, int(root[x[i]]), int(root[y[j]]))]
         return pa.table({"u": pa.array([g[0] for g in got], pa.int64()), "v": pa.array([g[1] for g in got], pa.int64())})
 
     return confirm
 
 
-def crowd_links(crowd: DataFrame, sigs: DataFrame, joined: DataFrame, texts_of, length: int, percent: int) -> DataFrame:
-    """crowd (key, id): the rows of crowded regions -> u, v between the components (joined) that a
-    region holds.  Every pair in different ones meets: rows are dealt to blocks, and blocks meet."""
-    least = percent / 100 - SLACK
-    rows = crowd.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    split = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    split = split.select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    dealt = rows.join(split, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    sent = dealt.select("key", F.least("block", "_o").alias("i"), F.greatest("block", "_o").alias("j"), "block", "id", "root")
-    pair = ["key", "i", "j"]
-    likely = stored(sent.join(sigs.select(F.col("rep").alias("id"), "sig"), "id").select(*sent.columns, "sig").groupBy(*pair).applyInArrow(crowd_sifter(least), SENT + ", sig binary"))
-    full = likely.join(texts_of(likely.select("id").distinct()).withColumnRenamed("a", "id"), "id")
-    return full.groupBy(*pair).applyInArrow(crowd_confirmer(length, percent, least), "u long, v long")
+def crowd_links(crowd: DataFrame, joined: DataFrame, sets_of, percent: int) -> DataFrame:
+    """crowd (key, id): the rows of crowded regions -> u, v between the components (joined) that a region
+    holds.  Every pair in different ones meets.  A region's largest component is its main one: blocks
+    of it meet blocks of the others, and blocks of the others meet each other."""
+    rows = stored(crowd.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
+    by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    split = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
+    split = split.select("key", F.col("main.root").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("n") - F.col("main.n")).alias("others"))
+    dealt = rows.join(split, "key").withColumn("is_main", F.col("root") == F.col("main"))
+    block = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    meets = lambda main, i, j, side: F.struct(F.lit(main).alias("main"), i.alias("i"), j.alias("j"), F.lit(side).alias("side") if isinstance(side, int) else side.alias("side"))
+    own = F.col("block")
+    with_main = F.transform(upto(F.col("mains")), lambda i: meets(True, i, own, 1))
+    each_other = F.transform(upto(F.col("others")), lambda j: meets(False, F.least(own, j), F.greatest(own, j), F.when(own <= j, 0).otherwise(1)))
+    to = F.when(F.col("is_main"), F.transform(upto(F.col("others")), lambda j: meets(True, own, j, 0))).otherwise(F.concat(with_main, each_other))
+    sent = dealt.withColumn("block", block).select("key", "id", "root", F.explode(to).alias("to")).select("key", "to.*", "id", "root")
+    full = sent.join(sets_of(sent.select("id").distinct()), "id")
+    return full.groupBy("key", "main", "i", "j").applyInArrow(crowd_confirmer(percent), "u long, v long")
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
@@ -229,26 +235,17 @@ def classes_of(signed: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """a > b with their estimated similarity, for pairs that may be similar enough; and key, id of
-    the regions in which not all pairs were met: crowded ones, and those at the ends of ranges."""
+    """a > b with their estimated similarity, for pairs that may be similar enough; and key, id of the
+    regions in which not all pairs were met: crowded ones, and those at the ends of ranges."""
     spark = classes.sparkSession
-    rows = stored(classes.select("rep", "sig").mapInArrow(prefixes, "key long, d1 long, d2 long, id long"))
+    rows = stored(classes.select("rep", "sig").mapInArrow(prefixes, "key long, deep long, id long"))
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
-    swept = stored(rows.repartitionByRange(ranges, "key", "d1", "d2", "id").sortWithinPartitions("key", "d1", "d2", "id").mapInArrow(neighbours, FOUND).distinct())
-    ends = swept.where("kind = 1").select("edge", "key", "d1", "d2", "id")
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for b in batches:
-            rows += zip(*[b.column(i).to_pylist() for i in range(5)])
-        pairs = {(max(p[4], q[4]), min(p[4], q[4])) for i, p in enumerate(rows) for q in rows[max(0, i - 2 * NEAREST) : i] if p[:2] == q[:2] and p[4] != q[4]}
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-    seams = ends.repartition("edge").sortWithinPartitions("edge", "key", "d1", "d2", "id").mapInArrow(across, "a long, b long")
-    pairs = swept.where("kind = 0").select(F.col("id").alias("a"), F.col("other").alias("b")).union(seams).distinct()
+    order = ["key", "deep", "id"]
+    swept = stored(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(neighbours, FOUND).distinct())
+    pairs = swept.where(F.col("kind") == PAIR).select(F.col("id").alias("a"), F.col("other").alias("b"))
     sigs = classes.select("rep", "sig")
     both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    crowd = rows.join(swept.where("kind > 0").select("key").distinct(), "key", "left_semi").select("key", "id")
+    crowd = rows.join(swept.where(F.col("kind") == REGION).select("key").distinct(), "key", "left_semi").select("key", "id")
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(agreeing, "a long, b long, likely double").where(F.col("likely") >= percent / 100 - SLACK), crowd
 
 
@@ -257,37 +254,49 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> Data
 
     Links join documents with 100 * intersection >= percent * union of their shingle sets.
     Documents without words or text have an empty set, link with nothing and are kept, as are rows
-    without doc_id.  Rows that share a doc_id are one document.  A component is confirmed step by
-    step: first each class with its likeliest partner, then only pairs between different components,
-    then what crowded regions still hold apart.
+    without doc_id.  Rows that share a doc_id are one document, which has the links of all of them.
+    Other columns may have any names; no rows give no rows.  A component is confirmed step by step:
+    first each class with its likeliest partner, then only pairs between different components, then
+    what crowded regions still hold apart.
     """
-    signed = stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signer(length, trees_for(percent)), "doc_id long, n_shingles long, digest binary, sig binary"))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    signed = stored(docs.mapInArrow(signer(length, trees_for(percent)), "doc_id long, n_shingles long, digest binary, sig binary"))
     classes = stored(classes_of(signed))
-    pairs, crowd = candidates(classes, percent)
-    pairs, crowd = stored(pairs), stored(crowd)
+    pairs, crowd = map(stored, candidates(classes, percent))
+    # Documents whose rows have different sets join their classes.
+    several = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "digest").groupBy("doc_id").agg(F.min("digest").alias("d"), F.max("digest").alias("e")).where("d <> e").select("doc_id")
+    several = stored(signed.select("doc_id", "digest").join(several, "doc_id").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct())
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         # Hardly any texts but the wanted ones are moved.
         wanted = wanted.toDF("a")
-        some = docs.select(F.col("doc_id").cast("long").alias("a"), "text").where(Sieve(wanted).holds(F.col("a")))
-        return stored(some.join(wanted, "a", "left_semi").dropDuplicates(["a"]))
+        some = docs.select(F.col("doc_id").alias("a"), "text").where(Sieve(wanted).holds(F.col("a")))
+        return some.join(wanted, "a", "left_semi")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                found = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), length)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
+
+        return stored(texts_of(wanted).mapInArrow(sets, "id long, shingles binary").where("octet_length(shingles) > 0"))
 
-    texts = texts_of(pairs.select("a").union(pairs.select("b")).distinct())
+    texts = stored(texts_of(pairs.select("a").union(pairs.select("b")).distinct()).dropDuplicates(["a", "text"]))
 
     def confirmed(some: DataFrame) -> DataFrame:
         full = some.select("a", "b").join(texts.withColumnRenamed("text", "text_a"), "a").join(texts.select(F.col("a").alias("b"), F.col("text").alias("text_b")), "b")
         return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(confirmer(length, percent), "u long, v long"))
 
-    first = confirmed(pairs.groupBy("a").agg(F.max(F.struct("likely", "b")).alias("m")).select("a", F.col("m.b").alias("b")))
+    first = confirmed(pairs.groupBy("a").agg(F.max(F.struct("likely", "b")).alias("m")).select("a", F.col("m.b").alias("b"))).union(several)
     joined = components(first)
     root = lambda c: joined.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
     apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = confirmed(apart)
     joined = components(first.union(more))
-    rest = stored(crowd_links(crowd, classes.select("rep", "sig"), joined, texts_of, length, percent))
+    rest = stored(crowd_links(crowd, joined, sets_of, percent))
     if not rest.isEmpty():
         joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest))
     found = classes.select("digest", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(found, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
