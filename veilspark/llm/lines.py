@@ -8,10 +8,10 @@ shared); what passes is verified on the lines themselves.  A line goes if an ear
 is verified similar.
 
 Rows travel as packed columns, a block for each task and bucket of words, so that a shuffle moves few
-large rows.  A word's lines are swept together; each line looks for its earliest partner, which is
-verified first.  Only lines that are not found similar to it though they have more partners, and words
-with over CROWD lines, go on to a second round: there lines meet at pairs of prefix words (similar
-lines share two of them), in blocks, and every partner is looked at.
+large rows.  A word's lines are swept together; each line looks for its LISTED earliest
+partners, which are verified.  Only lines that are like none of them though they have more, and words with
+over CROWD lines, go on to a second round: there lines meet in blocks, those of a crowded word
+at pairs of prefix words (similar lines share two of them), and every partner is looked at.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ SIMILARITY = 0.8
 #: Counters of the word order: hashed, so their number is fixed whatever the vocabulary.  Words that
 #: share one are ordered by hash; any order is exact, a rarer-first one is quick.
 COUNTERS = 1 << 18
+#: Earlier partners of a line that are verified at first.
+LISTED = 8
 #: Lines of one word that are swept together; a word with more goes to the second round.
 CROWD = 4096
 #: Lines of a pair of words that meet as many others at a time in the second round.
@@ -215,7 +217,7 @@ def passes(size_a, place_a, parity_a, size_b, place_b, parity_b, t: float) -> np
 
 
 MET = "kind int, doc_a long, line_a int, doc_id long, line int, word long"
-#: What a row of MET is: a place that goes, a later line and the earliest one that it may be like, a crowded word.
+#: What a row of MET is: a place that goes, a later line and an earlier one that it may be like, a crowded word.
 GOES, MEETS, CROWDED = 0, 1, 2
 
 
@@ -237,16 +239,12 @@ def sweeper(t: float, buckets: int):
     def finish(held: Bucket, bucket: int | None) -> Iterator[pa.RecordBatch]:
         if bucket is None:
             return
-        yield met(GOES, *held.compact())
+        yield met(GOES, *held.compact(True))
         yield met(CROWDED, word=(held.many << 31) | bucket)
         key, doc, line, size, place, digest, parity = held.columns(PREFIXES)
-        order = np.lexsort((size, key))
-        _, back, n = np.unique(key[order], return_inverse=True, return_counts=True)
-        order = order[n[back] > 1]
-        at = place_codes(doc, line)
-        best, partners = earliest(key[order], at[order], size[order], place[order], parity[order], t)
-        later = np.flatnonzero(partners > 0)
-        first, later, more = order[best[later]], order[later], partners[later] > 1
+        order = np.argsort((key << 20) + np.minimum(size, (1 << 20) - 1), kind="stable")
+        key, doc, line, size, place, parity = (c[order] for c in (key, doc, line, size, place, parity))
+        first, later, more = earliest(key, place_codes(doc, line), size, place, parity, t)
         yield met(MEETS, doc[later], line[later], doc[first], line[first], np.where(more, (key[later] << 31) | bucket, -1))
 
     return sweep
@@ -261,29 +259,35 @@ class Bucket:
 
     def add(self, kind: int, block: bytes) -> bool:
         """Whether there are so many rows now that they need to be compacted."""
-        self.blocks[kind].append(unpack(block, COLUMNS[kind]))
-        self.rows += len(self.blocks[kind][-1][0])
+        columns = unpack(block, COLUMNS[kind])
+        if kind == PREFIXES and len(self.many):
+            at = np.minimum(np.searchsorted(self.many, columns[0]), len(self.many) - 1)
+            columns = [c[self.many[at] != columns[0]] for c in columns]
+        self.blocks[kind].append(columns)
+        self.rows += len(columns[0])
         return self.rows > self.limit
 
     def columns(self, kind: int) -> list[np.ndarray]:
         found = self.blocks[kind]
         return [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64)] * COLUMNS[kind]
 
-    def compact(self) -> tuple[np.ndarray, np.ndarray]:
+    def compact(self, final: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """The places of sets but the first of each."""
         d1, d2, doc, line = self.columns(FIRSTS)
         order, first = leaders((d1, d2), doc, line)
         gone = order[(doc[order] != doc[first]) | (line[order] != line[first])]
         went = doc[gone], line[gone]
-        self.blocks[FIRSTS] = [[c[np.unique(first)] for c in (d1, d2, doc, line)]]
+        self.blocks[FIRSTS] = [[c[marked(first, len(d1))] for c in (d1, d2, doc, line)]]
         columns = self.columns(PREFIXES)
-        order, first = leaders(((columns[0] << 32) | columns[3], columns[5]), columns[1], columns[2])
-        columns = [c[np.unique(first)] for c in columns]
-        words, n = np.unique(columns[0], return_counts=True)
-        self.many = np.union1d(self.many, words[n > CROWD])
-        own = ~np.isin(columns[0], self.many)
-        self.blocks[PREFIXES] = [[c[own] for c in columns]]
-        self.rows = int(own.sum()) + len(self.blocks[FIRSTS][0][0])
+        if final:  # words of one row meet nothing
+            order, n = run_lengths(columns[0])
+            columns = [c[order[n > 1]] for c in columns]
+        _, first = leaders((columns[5] ^ (columns[0] << 32) ^ columns[3],), columns[1], columns[2])
+        columns = [c[marked(first, len(columns[0]))] for c in columns]
+        order, n = run_lengths(columns[0])
+        self.many = np.array(sorted({*self.many.tolist(), *columns[0][order[n > CROWD]].tolist()}), np.int64)
+        self.blocks[PREFIXES] = [[c[order[n <= CROWD]] for c in columns]]
+        self.rows = len(self.blocks[PREFIXES][0][0]) + len(self.blocks[FIRSTS][0][0])
         self.limit = max(self.limit, 2 * self.rows)
         return went
 
@@ -296,6 +300,21 @@ def leaders(keys: tuple[np.ndarray, ...], doc: np.ndarray, line: np.ndarray) ->
     return order, order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
 
 
+def marked(rows: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of n rows is one of these."""
+    out = np.zeros(n, bool)
+    out[rows] = True
+    return out
+
+
+def run_lengths(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows by key, and for each of them how many rows have its key."""
+    order = np.argsort(key, kind="stable")
+    new = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1])) if len(key) else order
+    n = np.diff(np.append(new, len(key)))
+    return order, np.repeat(n, n)
+
+
 def place_codes(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     """Numbers in the order of the places, equal where they are."""
     if not len(doc):
@@ -310,27 +329,40 @@ def place_codes(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return code
 
 
-def earliest(key, at, size, place, parity, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by word and size: the earliest row that each may be like and is later than, and
-    how many such rows there are."""
+def earliest(key, at, size, place, parity, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by word and size: pairs of the LISTED earliest rows that a row may be like and is
+    later than, that row, and whether it has more of them."""
     n = len(key)
-    best, partners = np.full(n, -1), np.zeros(n, np.int64)
+    best, partners = np.full((n, LISTED), np.iinfo(np.int64).max), np.zeros(n, np.int64)
+    order = np.argsort(at, kind="stable")
+    rank = np.zeros(n, np.int64)
+    rank[order[1:]] = np.cumsum(at[order][1:] != at[order][:-1])
+    mark = (rank << 32) | np.arange(n)
+    spare, least = size - place, t * size - 1e-9
     j = np.arange(n)
     for d in range(1, n):
         j = j[j >= d]
-        j = j[(key[j] == key[j - d]) & (size[j - d] >= t * size[j] - 1e-9)]
+        i = j - d
+        go = (key[j] == key[i]) & (size[i] >= least[j])
+        j, i = j[go], i[go]
         if not len(j):
             break
-        ok = j[passes(size[j], place[j], parity[j], size[j - d], place[j - d], parity[j - d], t)]
-        if len(ok):
-            i = ok - d
-            for later, first in ((ok, i), (i, ok)):
-                use = at[first] < at[later]
-                later, first = later[use], first[use]
-                partners[later] += 1
-                nearer = (best[later] < 0) | (at[first] < at[best[later]])
-                best[later[nearer]] = first[nearer]
-    return best, partners
+        need = t / (1 + t) * (size[j] + size[i]) - 1e-9  # words shared by lines that are similar enough
+        ok = np.minimum(spare[j], spare[i]) >= need
+        later, first, need = j[ok], i[ok], need[ok]
+        ok = np.bitwise_count((parity[later] ^ parity[first]).view(np.uint64)) <= size[later] + size[first] - 2 * need
+        later, first = later[ok], first[ok]
+        for x, y in ((later, first), (first, later)):  # a row stands once on either side
+            use = rank[y] < rank[x]
+            x, new = x[use], mark[y[use]]
+            partners[x] += 1
+            nearer = new < best[x, -1]
+            x, new = x[nearer], new[nearer]
+            best[x, -1] = new
+            best[x] = np.sort(best[x], axis=1)
+    got = best < np.iinfo(np.int64).max
+    later, slot = np.nonzero(got)
+    return best[later, slot] & 0xFFFFFFFF, later, partners[later] > LISTED
 
 
 def met(kind: int, doc=(), line=(), doc_a=None, line_a=None, word=None) -> pa.RecordBatch:
@@ -372,11 +404,11 @@ def verified(texts: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """Pairs of places -> later places whose lines are similar enough to the earlier ones."""
     places = pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line")).union(pairs.select("doc_id", "line"))
 
-    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(place_ids(np.asarray(b.column(0)), np.asarray(b.column(1))))], names=["id"])
 
-    bits = Sieve(places.mapInArrow(marked, "id long")).bits
+    bits = Sieve(places.mapInArrow(hashed, "id long")).bits
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts -> their lines that the sieve lets through: hardly any others are moved."""
@@ -396,27 +428,30 @@ def verified(texts: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
 CROWD_ROWS = "key long, doc_id long, line int, codes binary"
 
 
-def crowd_rows(t: float, least: int, levels: np.ndarray, buckets: int, bits: np.ndarray):
+def crowd_rows(t: float, least: int, levels: np.ndarray, buckets: int, some: np.ndarray, crowded: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts -> a row for each pair of a prefix word that the sieve lets through and a later word
-        of a prefix one longer, with the line's words."""
+        """Texts -> a row for each prefix word in the sieve `some` and, in the sieve `crowded`, for each
+        pair of such a word and a later one of a prefix one longer, with the line's words."""
         for pieces in runs(batches):
             s = Lines(pieces, levels, least)
             if not len(s.doc):
                 continue
             reach, place = s.reach(t), s.places()
-            held = np.flatnonzero((place < reach[s.line]) & s.firsts()[s.line] & in_sieve(bits, word_ids(s.code, buckets)[2]))
+            held = np.flatnonzero((place < reach[s.line]) & s.firsts()[s.line])
+            word = word_ids(s.code[held], buckets)[2]
+            many = in_sieve(crowded, word)
+            few, held = held[in_sieve(some, word) & ~many], held[many]
             line = s.line[held]
             after = np.minimum(reach[line] + 1, s.sizes[line]) - place[held] - 1  # words that may be the second one
             one = np.ceil(t * s.sizes[line] - 1e-9) < 2
             first = np.repeat(held, after)
             second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(after) - after, after)
-            key = np.concatenate([mix64(mix64(s.code[first]) + s.code[second]), mix64(s.code[held[one]])]).view(np.int64)
-            line = np.concatenate([s.line[first], line[one]])
+            key = np.concatenate([mix64(mix64(s.code[first]) + s.code[second]), mix64(s.code[held[one]]), mix64(~s.code[few])]).view(np.int64)
+            line = np.concatenate([s.line[first], line[one], s.line[few]])
             for at in range(0, len(key), 10_000):
-                some = line[at : at + 10_000]
-                codes = [s.code[a : a + n].tobytes() for a, n in zip(s.starts[some].tolist(), s.sizes[some].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 10_000]), pa.array(s.doc[some]), pa.array(s.number[some].astype(np.int32)), pa.array(codes, pa.binary())], names=[c.split()[0] for c in CROWD_ROWS.split(", ")])
+                part = line[at : at + 10_000]
+                codes = [s.code[a : a + n].tobytes() for a, n in zip(s.starts[part].tolist(), s.sizes[part].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 10_000]), pa.array(s.doc[part]), pa.array(s.number[part].astype(np.int32)), pa.array(codes, pa.binary())], names=[c.split()[0] for c in CROWD_ROWS.split(", ")])
 
     return rows
 
@@ -443,8 +478,9 @@ def crowd_checker(t: float):
 
 
 def second_round(texts: DataFrame, words: DataFrame, t: float, least: int, levels: np.ndarray, buckets: int) -> DataFrame:
-    """Places whose lines are like an earlier one with which they share one of these words."""
-    rows = stored(texts.mapInArrow(crowd_rows(t, least, levels, buckets, Sieve(words).bits), CROWD_ROWS))
+    """Places whose lines are like an earlier one with which they share one of these words (word, crowded)."""
+    some, crowded = (Sieve(words.where(F.col("crowded") == c).select("word")).bits for c in (False, True))
+    rows = stored(texts.mapInArrow(crowd_rows(t, least, levels, buckets, some, crowded), CROWD_ROWS))
     blocks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "line"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sent = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "line", "codes")
@@ -467,7 +503,8 @@ def removed_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WOR
     pairs = all_met.where(F.col("kind") == MEETS)
     near = stored(pairs.select("doc_a", "line_a", *place).distinct())
     gone = stored(all_met.where(F.col("kind") == GOES).select(*place).union(verified(texts, near, t)).distinct())
-    words = pairs.where("word >= 0").join(gone, place, "left_anti").select("word").union(all_met.where(F.col("kind") == CROWDED).select("word"))
+    words = pairs.where("word >= 0").join(gone, place, "left_anti").select("word", F.lit(False).alias("crowded"))
+    words = words.union(all_met.where(F.col("kind") == CROWDED).select("word", F.lit(True).alias("crowded")))
     words = stored(words.distinct())
     if words.isEmpty():
         return gone
@@ -490,12 +527,12 @@ def without_repeats(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_W
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
     # Only documents that may lose lines are moved.
     touched = docs.withColumn(name("may"), F.coalesce(Sieve(gone.select(name("id"))).holds(F.col("doc_id").cast("long")) & F.col("doc_id").isNotNull(), F.lit(False)))
-    joined = touched.where(name("may")).join(gone, F.col("doc_id").cast("long") == F.col(name("id")), "left")
     places = F.filter(F.coalesce(name("gone"), F.array().cast("array<int>")), lambda k: k < F.size(lines))
+    joined = touched.where(name("may")).join(gone, F.col("doc_id").cast("long") == F.col(name("id")), "left").withColumn(name("n"), F.coalesce(F.size(places), F.lit(0)))
     keep = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(name("gone")))
     left = let(lines, lambda x: F.array_join(F.transform(keep(x), lambda k: F.get(x, k)), "\n"))
-    text = F.when(F.size(places) > 0, left).otherwise(F.col("text")).alias("text")
+    text = F.when(F.col(name("n")) > 0, left).otherwise(F.col("text")).alias("text")
     with_counts = lambda n: [] if counts is None else [n_lines.alias(counts[0]), n.cast("long").alias(counts[1])]
     whole = touched.where(~F.col(name("may"))).select(*columns, *with_counts(F.lit(0)))
-    cut = joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], *with_counts(F.coalesce(F.size(places), F.lit(0))))
+    cut = joined.select(*[text if c == "text" else F.col(f"`{c}`") for c in docs.columns], *with_counts(F.col(name("n"))))
     return whole.unionAll(cut)
