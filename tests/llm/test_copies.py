@@ -71,6 +71,62 @@ def test_near_duplicates_of_a_star(spark):
     assert len(links) < 1000 and len(set(want.values())) < 40
 
 
+def crowd(rng, groups, copies):
+    """Chains of near copies: each is changed from an earlier one, so similarities lie about the threshold."""
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=7))
+    rows = []
+    for _ in range(groups):
+        made = [[word() for _ in range(150)]]
+        for _ in range(copies - 1):
+            text = list(rng.choice(made[-40:]))
+            for _ in range(rng.choice([1, 2, 4, 6])):
+                text[rng.randrange(150)] = word()
+            made.append(text)
+        rows += [" ".join(x) for x in made]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def links_among(rows, percent):
+    """All links by brute force, over an index of shingles."""
+    sets, holders = {k: set(shingle_set(t).tolist()) for k, t in rows}, defaultdict(list)
+    for k, s in sets.items():
+        both = defaultdict(int)
+        for x in s:
+            for o in holders[x]:
+                both[o] += 1
+            holders[x].append(k)
+        yield from ((k, o) for o, n in both.items() if 100 * n >= percent * (len(s) + len(sets[o]) - n))
+
+
+def test_near_duplicates_of_crowds_about_the_threshold(spark):
+    rows = crowd(random.Random(12), 3, 250)
+    want = roots(range(len(rows)), links_among(rows, 85))
+    assert 20 < len(set(want.values())) < 700
+    before = neardup.BLOCK, neardup.COLUMNS
+    neardup.BLOCK, neardup.COLUMNS = 64, 512
+    try:
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    finally:
+        neardup.BLOCK, neardup.COLUMNS = before
+    assert got == want
+
+
+def test_near_duplicates_of_a_large_crowd(spark):
+    rows = crowd(random.Random(13), 1, 5000)
+    want = roots(range(len(rows)), links_among(rows, 85))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == want
+
+
+def test_near_duplicates_edges(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a, 1, 1), (2, a, 1, 1), (5, b, 1, 1), (3, b, 1, 1), (9, c, 1, 1), (9, c, 1, 1), (None, c, 1, 1), (7, None, 1, 1), (8, "z " * 300_000, 1, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest int, component_id int")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect())
+    assert got == [(0, 26, None, True), (2, 26, 2, True), (3, 26, 2, False), (5, 26, 2, False), (5, 26, 2, False), (7, 0, 7, True), (8, 1, 8, True), (9, 26, 9, True), (9, 26, 9, True)]
+
+
 def test_slack_loses_hardly_any_pair():
     n = neardup.TREES * neardup.LEAST_DEPTH
     lost = sum(math.comb(n, k) * 0.85**k * 0.15 ** (n - k) for k in range(n + 1) if k / n < 0.85 - neardup.SLACK)
@@ -93,12 +149,13 @@ def test_line_dedup(spark):
         rows.append((k, "\n".join(text), "own"))
     rows += [(100, None, ""), (101, "", ""), (None, rows[0][1], "x"), (102, "the same again and again here", ""), (103, "the same again and again here\n", "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, line string")
-    for t, crowd in ((0.8, 3), (0.9, lines.CROWD)):
-        before, lines.CROWD = lines.CROWD, crowd
+    for t, crowd, listed in ((0.8, 3, 1), (0.8, lines.CROWD, 1), (0.9, lines.CROWD, lines.LISTED), (0.4, 2, 2)):
+        before = lines.CROWD, lines.LISTED, lines.BLOCK
+        lines.CROWD, lines.LISTED, lines.BLOCK = crowd, listed, 8
         try:
             got = {r.doc_id: r for r in lines.without_repeats(docs, t).collect()}
         finally:
-            lines.CROWD = before
+            lines.CROWD, lines.LISTED, lines.BLOCK = before
         seen = []
         for k, text, _ in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
             kept = []
@@ -115,6 +172,48 @@ def test_line_dedup(spark):
     assert lines.without_repeats(docs.limit(0)).count() == 0
 
 
+def test_line_dedup_of_a_crowd_about_the_threshold(spark):
+    """Over a thousand lines of a word, few of them alike, in small Arrow batches."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(20)]
+    found = []
+    for _ in range(1100):
+        line = list(base)
+        for at in rng.sample(range(1, 20), rng.choice([2, 3, 4])):
+            line[at] = f"x{rng.randrange(60)}"
+        found.append(" ".join(line))
+    docs = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(3)
+    sets, gone = [set(x.split()) for x in found], set()
+    for k, s in enumerate(sets):
+        if any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in sets[:k]):
+            gone.add(k)
+    assert 100 < len(gone) < 1000
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for crowd, batch in ((lines.CROWD, "10000"), (1024, "64")):
+        before, lines.CROWD = lines.CROWD, crowd
+        spark.conf.set(size, batch)
+        try:
+            assert {r.doc_id for r in lines.removed_lines(docs).collect()} == gone
+        finally:
+            lines.CROWD = before
+            spark.conf.unset(size)
+
+
+def test_line_dedup_edges(spark):
+    long = "w " * 200_000
+    rows = [(1, "a b c d e f", 0, 1), (1, "a b c d e f", 0, 1), (1, "other words stand here now", 0, 1), (2, "now here stand words other\nz", 0, 1), (3, long, 0, 1), (4, "W\n\n" + long, 0, 1), (5, "a" * 400_000, 0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone int, __id int")
+    got = sorted((r.doc_id, r.text, r.n, r.gone) for r in lines.without_repeats(docs, counts=("n", "gone")).collect())
+    assert got == sorted([(1, rows[0][1], 1, 0), (1, rows[1][1], 1, 0), (1, rows[2][1], 1, 0), (2, "z", 2, 1), (3, long, 1, 0), (4, "", 3, 2), (5, rows[6][1], 1, 0)])
+    assert lines.without_repeats(docs, counts=None).columns == docs.columns
+
+
+def test_blocks_hold_any_numbers():
+    columns = [np.array(c, np.int64) for c in ([0, 2**63 - 1, -(2**63)], [5, 5, 5], [-3, 250, 7])]
+    assert [c.tolist() for c in lines.unpack(lines.pack(columns), 3)] == [c.tolist() for c in columns]
+    assert [len(c) for c in lines.unpack(lines.pack([columns[0][:0]] * 2), 2)] == [0, 0]
+
+
 def test_line_dedup_finds_one_changed_word_in_nine(spark):
     line = "one two three four five six seven eight nine"
     docs = spark.createDataFrame([(0, line), (1, line.replace("five", "other"))], "doc_id long, text string")

@@ -28,10 +28,10 @@ TREES, LEAST_DEPTH = 24, 4
 DEPTH = 6
 #: Rows of a region that are all paired, and the neighbours that a row of a crowded one meets at least.
 CROWD, NEAREST = 12, 2
-#: Rows of a crowded region that are compared with as many others at a time.
-BLOCK = 256
+#: Rows, and shingles of them all, of a crowded region that are compared with as many others at a time.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 18
 #: Shingles of two blocks that are looked at together.
-COLUMNS = 4096
+COLUMNS = 2048
 #: How far below the threshold an estimate may lie for a pair to be confirmed: over 6 standard errors
 #: (at 0.85 that loses a pair in less than 1e-8).
 SLACK = 0.25
@@ -207,15 +207,16 @@ def crowd_confirmer(percent: int):
     return confirm
 
 
-def crowd_links(crowd: DataFrame, joined: DataFrame, sets_of, percent: int) -> DataFrame:
-    """crowd (key, id): the rows of crowded regions -> u, v between the components (joined) that a region
+def crowd_links(crowd: DataFrame, sizes: DataFrame, joined: DataFrame, sets_of, percent: int) -> DataFrame:
+    """crowd (key, id) and sizes (id, size of its set): the rows of crowded regions -> u, v between the components (joined) that a region
     holds.  Every pair in different ones meets.  A region's largest component is its main one: blocks
     of it meet blocks of the others, and blocks of the others meet each other."""
-    rows = stored(crowd.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")))
-    by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    split = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n")).where("n > main.n")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("long")
-    split = split.select("key", F.col("main.root").alias("main"), blocks(F.col("main.n")).alias("mains"), blocks(F.col("n") - F.col("main.n")).alias("others"))
+    rows = stored(crowd.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").join(sizes, "id").select("key", "id", F.coalesce("root", "id").alias("root"), "size"))
+    by_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    split = by_root.groupBy("key").agg(F.max(F.struct("n", "root", "size")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size")).where("n > main.n")
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES)).cast("long")
+    others = blocks(F.col("n") - F.col("main.n"), F.col("size") - F.col("main.size"))
+    split = split.select("key", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.size")).alias("mains"), others.alias("others"))
     dealt = rows.join(split, "key").withColumn("is_main", F.col("root") == F.col("main"))
     block = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others")))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -230,8 +231,8 @@ def crowd_links(crowd: DataFrame, joined: DataFrame, sets_of, percent: int) -> D
 
 
 def classes_of(signed: DataFrame) -> DataFrame:
-    """digest -> rep (smallest doc_id with that set) and its signature."""
-    return signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "sig")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig"))
+    """digest -> rep (smallest doc_id with that set), its signature and the size of the set."""
+    return signed.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "n_shingles")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), F.col("m.sig").alias("sig"), F.col("m.n_shingles").alias("size"))
 
 
 def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -293,7 +294,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> Data
     apart = pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
     more = confirmed(apart)
     joined = components(first.union(more))
-    rest = stored(crowd_links(crowd, joined, sets_of, percent))
+    rest = stored(crowd_links(crowd, classes.groupBy(F.col("rep").alias("id")).agg(F.max("size").alias("size")), joined, sets_of, percent))
     if not rest.isEmpty():
         joined = components(joined.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest))
     found = classes.select("digest", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
