@@ -97,8 +97,34 @@ def test_mix(spark):
     assert all(abs(taken[s] - want[s]) <= 60 for s in sizes if s != "tiny")
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_report(docs, shards=5).collect()))
     mixed = mixing.mixed(docs, shards=5)
-    assert mixed.count() == sum(r.taken // r.size for r in got if r.size) + sum(1 for r in mixing.mix(docs, 5).where("_size = 0").selectExpr("explode(_draws)").collect())
+    assert mixed.count() == sum(r.taken // r.size for r in got if r.size) + sum(1 for r in mixing.mix(docs, 5).where("size = 0").selectExpr("explode(draws)").collect())
     assert mixing.mix_report(docs.limit(0)).count() == 0
+    quota = {(r.shard, r.source): r["last"] - r["first"] for r in mixing.shard_quotas(mixing.quotas(mixing.placed(docs, mixing.blocks_for(docs), 1), mixing.blocks_for(docs)), 5, 1).collect()}
+    drawn = {(k, source.get(r.doc_id, "tiny")) for r in got for k in r.shards}
+    assert drawn <= set(quota) and all(len(r.shards) * r.size == r.taken for r in got)
+
+
+def test_mix_of_clashing_columns(spark):
+    names = ["size", "at", "block", "n", "part", "target", "low", "high", "passes", "rest", "ranges", "source_size", "row", "of", "draws", "_more", "one", "absent"]
+    rows = [(k, f"s{k % 3}", "w " * (k % 7 + 1), *range(len(names))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"{c} int" for c in names))
+    assert mixing.mixed(docs, 3).columns == docs.columns and {tuple(r) for r in mixing.mixed(docs, 3).collect()} <= set(rows)
+    assert mixing.mix_report(docs).count() == 60
+    assert mixing.mixed(docs.limit(0), 3).count() == 0
+
+
+def test_shards_of_many_sources(spark):
+    share = spark.createDataFrame([(f"s{k}", k % 40) for k in range(200)], "source string, n long")
+    before, mixing.GROUP = mixing.GROUP, 16
+    try:
+        got = mixing.shard_quotas(share, 6, 3).collect()
+    finally:
+        mixing.GROUP = before
+    by_source, by_shard = Counter(), Counter()
+    for r in got:
+        by_source[r.source] += r["last"] - r["first"]
+        by_shard[r.shard] += r["last"] - r["first"]
+    assert all(by_source[f"s{k}"] == k % 40 for k in range(200)) and max(by_shard.values()) - min(by_shard.values()) <= 16
 
 
 def test_mix_fills_past_a_long_document(spark):
@@ -107,14 +133,15 @@ def test_mix_fills_past_a_long_document(spark):
     rows = [(k, "s", " ".join(["w"] * n)) for k, n in enumerate(sizes)] + [(200 + k, "t", "w") for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
     for seed in (1, 2):
-        share = mixing.mix(docs, 4, seed, (1.0, 1.25)).where("source = 's'").selectExpr("sum(_size * size(_draws)) AS taken", "max(_target) AS target").first()
+        share = mixing.mix(docs, 4, seed, (1.0, 1.25)).where("source = 's'").selectExpr("sum(`size` * size(draws)) AS taken", "max(target) AS target").first()
         assert abs(share.taken - share.target) <= 1, (seed, share)
-    docs = mixing.F.array(*[mixing.F.struct(mixing.F.lit(k).alias("_nth"), mixing.F.lit(n).alias("_size")) for k, n in enumerate([50, *[1] * 20, 3])])
+    docs = mixing.F.array(*[mixing.F.struct(mixing.F.lit(k).alias("_nth"), mixing.F.lit(n).alias("size")) for k, n in enumerate([50, *[1] * 20, 3])])
     got = spark.range(1).select(mixing.fillers(mixing.F.lit(12.0), docs).alias("f")).first().f
     assert got == list(range(1, 13))
 
 
 def test_shards_get_exact_quotas(spark):
+    assert sorted((r.source, r.weight) for r in mixing.weighed(spark.createDataFrame([(c,) for c in "dbca"], "source string"), (1.0, 2.0, 3.0)).collect()) == [("a", 1.0), ("b", 2.0), ("c", 3.0), ("d", 1.0)]
     share = spark.createDataFrame([("a", 100), ("b", 37), (None, 3)], "source string, n long")
     got = mixing.shard_quotas(share, 7, 1).collect()
     by_source = Counter()

@@ -13,6 +13,7 @@ Everything is DataFrame and SQL expressions.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,35 +36,45 @@ def size_of(text: Column) -> Column:
     return F.coalesce(times(text, WORD + "+"), F.lit(0).cast("long"))
 
 
-def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, rounds: int = 0) -> DataFrame:
-    """source, source_size -> the same with target (double).
+def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES) -> DataFrame:
+    """source, source_size -> the same with weight and target (double).
 
     Sources by code point, null last, weigh `weights` in turn and share all words; a target stops
     at `most` times its source's size, and the excess is shared by weight among the others until
-    none is above.  That is water filling: with the sources sorted by the level at which they
-    stop, the final level is the first that all later sources can share.
+    none is above.  A round is one sum over the sources: the words left for each unit of weight of
+    those that have not stopped; it ends when no further one stops.
     """
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = sources.withColumn("weight", F.get(w, (F.row_number().over(order) - 1) % len(weights)))
-    cap = F.col("source_size") * float(most)
-    # `most` >= 1, so all words always fit.  Level: words for each unit of weight.
-    by_level = Window.orderBy(cap / F.col("weight"), F.col("source").asc_nulls_last())
-    before, after = by_level.rowsBetween(Window.unboundedPreceding, -1), by_level.rowsBetween(0, Window.unboundedFollowing)
-    total = F.sum("source_size").over(Window.partitionBy())
-    filled = (
-        ranked.withColumn("cap", cap)
-        .withColumn("level", (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-        .withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-    )
-    final = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("level")))).over(Window.partitionBy())
-    return filled.withColumn("target", F.least("cap", F.coalesce(final["level"] * F.col("weight"), F.col("cap")))).select("source", "source_size", "weight", "target")
+    held = stored(weighed(sources, weights).withColumn("cap", F.col("source_size") * float(most)))
+    level = None
+    while True:
+        # The level only rises, and a source that has stopped stays so.
+        open_ = F.lit(True) if level is None else F.col("weight") * level <= F.col("cap")
+        whole = held.agg(F.sum("source_size").alias("all"), F.sum(F.when(~open_, F.col("cap"))).alias("stopped"), F.sum(F.when(open_, F.col("weight"))).alias("open"), F.count_if(open_).alias("n")).first()
+        if not whole["open"]:
+            return held.select("source", "source_size", "weight", F.col("cap").alias("target"))
+        before, level = level, (whole["all"] - (whole["stopped"] or 0.0)) / whole["open"]
+        if before is not None and level <= before:
+            return held.select("source", "source_size", "weight", F.least("cap", F.col("weight") * level).alias("target"))
+
+
+def weighed(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """sources with weight, by their place in code-point order, null last: sorted ranges are numbered
+    within, and each range begins where the ranges before it end."""
+    ranges = max(1, min(int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64))
+    rows = stored(sources.withColumn("absent", F.col("source").isNull()).repartitionByRange(ranges, "absent", "source").withColumn("range", F.spark_partition_id()))
+    # As many rows as there are ranges.
+    starts = rows.groupBy("range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("absent", "source")) - 1
+    ranked = rows.withColumn("nth", nth).join(F.broadcast(starts.select("range", "before")), "range")
+    return ranked.withColumn("weight", F.get(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("nth") + F.col("before")) % len(weights)).cast("int"))).select(*sources.columns, "weight")
 
 
 def placed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """docs with _size, _at (place in its source's random order) and _block."""
+    """A row for each document: row (all its columns), doc_id, source, size, at (place in its source's
+    random order) and block."""
     at = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
-    return docs.withColumn("_size", size_of(F.col("text"))).withColumn("_at", at).withColumn("_block", F.shiftrightunsigned(F.col("_at"), 33) % blocks)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", size_of(F.col("text")).alias("size"), at.alias("at"))
+    return rows.withColumn("block", F.shiftrightunsigned(F.col("at"), 33) % blocks)
 
 
 def quotas(rows: DataFrame, blocks: int, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -71,23 +82,23 @@ def quotas(rows: DataFrame, blocks: int, weights: tuple[float, ...] = WEIGHTS) -
     a last pass ends: it takes blocks before `low` whole, and of those from `low` to `high` (`cut`;
     about CUT_DOCS documents either side of its end) single documents of `part` words together.
     `n` is the source's quota of block draws."""
-    by_block = rows.groupBy("source", "_block").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("docs"))
+    by_block = stored(rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")))
     sources = targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), weights)
     all_of = Window.partitionBy("source")
-    found = by_block.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "_block", "words", "docs", "source_size", "target")
+    found = by_block.alias("b").join(sources.alias("s"), F.col("b.source").eqNullSafe(F.col("s.source"))).select("b.source", "block", "words", "docs", "source_size", "target")
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     found = (
         found.withColumn("passes", passes)
         .withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-        .withColumn("upto", F.sum("words").over(all_of.orderBy("_block")))
-        .withColumn("end", F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("_block") + 1)).over(all_of), F.lit(0)))
+        .withColumn("upto", F.sum("words").over(all_of.orderBy("block")))
+        .withColumn("end", F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("block") + 1)).over(all_of), F.lit(0)))
         .withColumn("near", F.ceil(CUT_DOCS * blocks / F.sum("docs").over(all_of)))
     )
     one = found.groupBy("source").agg(
         *[F.max(c).alias(c) for c in ("source_size", "target", "passes", "rest")],
         F.max(F.col("end") - F.col("near")).alias("low"),
         F.max(F.least(F.col("end") + F.col("near"), F.lit(blocks - 1))).alias("high"),
-        F.sum(F.when(F.col("_block") < F.col("end") - F.col("near"), F.col("words")).otherwise(F.lit(0))).alias("before"),
+        F.sum(F.when(F.col("block") < F.col("end") - F.col("near"), F.col("words")).otherwise(F.lit(0))).alias("before"),
     )
     ends = F.col("rest") > 0
     return one.select(
@@ -135,23 +146,46 @@ def hypergeometric(total: Column, own: Column, taken: Column, u: Column) -> Colu
     return let(mode, from_mode)
 
 
+#: Sources that a node's quotas are listed for at once; more of them are first drawn by group.
+GROUP = 512
+
+
 def shard_quotas(share: DataFrame, shards: int, seed: int) -> DataFrame:
-    """shard, source -> how many draws before it (`first`) and up to its end (`last`)."""
-    tree = share.select("source", "n").agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("absent"), "source", "n"))).alias("quota"))
+    """shard, source -> how many draws before it (`first`) and up to its end (`last`).
+
+    Sources are dealt to groups of about GROUP.  The tree first draws what each shard has of every
+    group, and then, in each group, what of that is whose: the same law as one draw, but no row
+    lists more than the groups or the sources of one."""
+    groups = max(1, math.ceil(share.count() / GROUP))
+    keyed = share.select("source", "n", F.pmod(F.xxhash64("source"), F.lit(groups)).alias("group"))
+    whole = F.array_sort(F.collect_list(F.struct(F.col("group").isNull().alias("absent"), F.col("group").alias("source"), "n")))
+    tree = keyed.groupBy("group").agg(F.sum("n").alias("n")).agg(whole.alias("quota"))
     tree = tree.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "quota").where(F.size("quota") > 0)
-    for _ in range(math.ceil(math.log2(shards)) if shards > 1 else 0):
+    levels = math.ceil(math.log2(shards)) if shards > 1 else 0
+    for _ in range(levels):
         tree = tree.select(F.explode(split_node(F.col("lo"), F.col("hi"), F.col("quota"), seed)).alias("node")).select("node.*")
-    leaves = tree.select("lo", F.explode("quota").alias("q")).select(F.col("lo").alias("shard"), "q.source", "q.n")
+    by_shard = stored(tree.select("lo", F.explode("quota").alias("q")).select(F.col("lo").alias("shard"), F.col("q.source").alias("group"), "q.n"))
+    # What the left half of any range of shards has of a group: the difference of two running sums.
+    upto = by_shard.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("per"))
+    sums = F.aggregate("per", F.array(F.lit(0).cast("long")), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + p["n"])))
+    own = keyed.groupBy("group").agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("absent"), "source", "n"))).alias("quota"))
+    inner = own.join(upto.select("group", sums.alias("upto")), "group").select("group", "upto", F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), "quota")
+    for _ in range(levels):
+        at = lambda k: F.get(F.col("upto"), k.cast("int"))
+        halves = split_node(F.col("lo"), F.col("hi"), F.col("quota"), seed, lambda lo, mid: at(mid) - at(lo))
+        inner = inner.select("group", "upto", F.explode(halves).alias("node")).select("group", "upto", "node.*")
+    leaves = inner.select("lo", F.explode("quota").alias("q")).select(F.col("lo").alias("shard"), "q.source", "q.n")
     order = Window.partitionBy("source").orderBy("shard")
     return leaves.withColumn("last", F.sum("n").over(order)).withColumn("first", F.col("last") - F.col("n")).where("n > 0").select("shard", "source", "first", "last")
 
 
-def split_node(lo: Column, hi: Column, quota: Column, seed: int) -> Column:
-    """A node's two halves as an array; a single shard stays one node."""
+def split_node(lo: Column, hi: Column, quota: Column, seed: int, left: Callable[[Column, Column], Column] | None = None) -> Column:
+    """A node's two halves as an array; a single shard stays one node.  left(lo, mid) says how many
+    draws the left half has; without it, its share by shards."""
 
     def halves(mid: Column) -> Column:
         total = F.aggregate(quota, F.lit(0).cast("long"), lambda a, q: a + q["n"])
-        left_total = let(total, lambda t: F.floor(t * ((mid - lo) / (hi - lo))).cast("long"))
+        left_total = left(lo, mid) if left else let(total, lambda t: F.floor(t * ((mid - lo) / (hi - lo))).cast("long"))
 
         def draw(t: Column) -> Column:
             start = F.struct(t["total"].alias("total"), t["left"].alias("left"), F.array().cast("array<bigint>").alias("got"))
@@ -174,31 +208,32 @@ def split_node(lo: Column, hi: Column, quota: Column, seed: int) -> Column:
 
 
 def fillers(gap: Column, docs: Column) -> Column:
-    """Which documents (_nth, _size; in order) go into the gap: each that still fits, then the one, if
+    """Which documents (_nth, size; in order) go into the gap: each that still fits, then the one, if
     any, that comes nearer though it is longer than what is left."""
     start = F.struct(gap.cast("double").alias("gap"), F.array().cast("array<int>").alias("got"))
 
     def step(a: Column, d: Column) -> Column:
-        taken = F.struct((a["gap"] - d["_size"]).alias("gap"), F.concat(a["got"], F.array(d["_nth"])).alias("got"))
-        return F.when(d["_size"] <= a["gap"], taken).otherwise(a)
+        taken = F.struct((a["gap"] - d["size"]).alias("gap"), F.concat(a["got"], F.array(d["_nth"])).alias("got"))
+        return F.when(d["size"] <= a["gap"], taken).otherwise(a)
 
     def last(a: Column) -> Column:
-        near = F.filter(docs, lambda d: ~F.array_contains(a["got"], d["_nth"]) & (F.abs(a["gap"] - d["_size"]) < a["gap"]))
-        best = F.array_min(F.transform(near, lambda d: F.struct(F.abs(a["gap"] - d["_size"]).alias("off"), d["_nth"].alias("nth"))))
+        near = F.filter(docs, lambda d: ~F.array_contains(a["got"], d["_nth"]) & (F.abs(a["gap"] - d["size"]) < a["gap"]))
+        best = F.array_min(F.transform(near, lambda d: F.struct(F.abs(a["gap"] - d["size"]).alias("off"), d["_nth"].alias("nth"))))
         return F.when(F.size(near) > 0, F.concat(a["got"], F.array(best["nth"]))).otherwise(a["got"])
 
     return let(F.aggregate(docs, start, step), last)
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, seed: int = 1, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """docs with _size, _source_size, _target and _draws: one struct<shard, place> for each time
-    that the mix takes the document (empty: left out).
+    """A row for each document: row (a struct of its columns), source, size, source_size, target and
+    draws, one struct<shard, place> for each time that the mix takes it (empty: left out).
 
     Documents are taken whole, MOST_PASSES times at most.  Null texts have size 0, null sources are
-    one source, repeated rows are documents of their own, no documents give no rows.
+    one source, repeated rows are documents of their own, no documents give no rows; other columns
+    may have any names.
     """
     blocks = blocks_for(docs)
-    return draw(placed(docs, blocks, seed), stored(quotas(placed(docs.select("doc_id", "source", "text"), blocks, seed), blocks, weights)), docs.columns, blocks, shards, seed)
+    return draw(placed(docs, blocks, seed), stored(quotas(placed(docs.select("doc_id", "source", "text"), blocks, seed), blocks, weights)), blocks, shards, seed)
 
 
 def blocks_for(docs: DataFrame) -> int:
@@ -207,59 +242,58 @@ def blocks_for(docs: DataFrame) -> int:
     return max(1, math.isqrt(docs.count()))
 
 
-def draw(rows: DataFrame, share: DataFrame, columns: list[str], blocks: int, shards: int, seed: int) -> DataFrame:
+def draw(rows: DataFrame, share: DataFrame, blocks: int, shards: int, seed: int) -> DataFrame:
     """rows (of placed) with what the mix takes of them, given the sources' shares (of quotas)."""
     # Draw k of a source: pass after pass over its blocks in order; shards own ranges of draws.
     ranges = shard_quotas(share, shards, seed).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("last", "shard"))).alias("ranges"))
-    of = stored(share.alias("s").join(ranges.alias("r"), F.col("s.source").eqNullSafe(F.col("r.source")), "left").select("s.*", "ranges").withColumnRenamed("source", "_of"))
-    spread = rows.join(of, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
-    cut = F.col("_block").between(F.col("low"), F.col("high"))
+    of = stored(share.alias("s").join(ranges.alias("r"), F.col("s.source").eqNullSafe(F.col("r.source")), "left").select("s.*", "ranges").withColumnRenamed("source", "of"))
+    spread = rows.join(of, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    cut = F.col("block").between(F.col("low"), F.col("high"))
     # Only blocks about the end of a source's last pass look at their documents' order: whole
     # documents while they fit, then, a few times, the one that comes nearest to what is missing,
     # then all others that still fit, in order, and one that comes nearer.
     inside = Window.partitionBy("source")
-    order = inside.orderBy("_block", "_at", "doc_id", "_size")
-    part = spread.where(cut).withColumn("_nth", F.row_number().over(order)).withColumn("_upto", F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = inside.orderBy("block", "at", "doc_id", "size")
+    part = spread.where(cut).withColumn("_nth", F.row_number().over(order)).withColumn("_upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     part = part.withColumn("_more", F.col("_upto") <= F.col("part"))
     part = part.withColumn("_gap", F.col("part") - F.coalesce(F.max(F.when(F.col("_more"), F.col("_upto"))).over(inside), F.lit(0)))
     for _ in range(FILLS):
-        off = F.abs(F.col("_gap") - F.col("_size"))
-        part = part.withColumn("_near", F.when(~F.col("_more") & (off < F.abs("_gap")), F.struct(off.alias("off"), "_nth", "_size")))
+        off = F.abs(F.col("_gap") - F.col("size"))
+        part = part.withColumn("_near", F.when(~F.col("_more") & (off < F.abs("_gap")), F.struct(off.alias("off"), "_nth", "size")))
         part = part.withColumn("_best", F.min("_near").over(inside))
         part = part.withColumn("_more", F.col("_more") | F.coalesce(F.col("_best._nth") == F.col("_nth"), F.lit(False)))
-        part = part.withColumn("_gap", F.col("_gap") - F.coalesce(F.col("_best._size"), F.lit(0)))
+        part = part.withColumn("_gap", F.col("_gap") - F.coalesce(F.col("_best.size"), F.lit(0)))
     part = part.drop("_near", "_best")
-    open_ = part.where(~F.col("_more") & (F.col("_size") > 0) & (F.col("_gap") > 0))
-    open_ = open_.groupBy(F.col("source").alias("_of")).agg(F.max("_gap").alias("gap"), F.array_sort(F.collect_list(F.struct("_nth", "_size"))).alias("docs"))
-    open_ = open_.select("_of", fillers(F.col("gap"), F.col("docs")).alias("_fill"))
-    part = part.join(F.broadcast(open_), F.col("source").eqNullSafe(F.col("_of")), "left")
+    open_ = part.where(~F.col("_more") & (F.col("size") > 0) & (F.col("_gap") > 0))
+    open_ = open_.groupBy(F.col("source").alias("of")).agg(F.max("_gap").alias("gap"), F.array_sort(F.collect_list(F.struct("_nth", "size"))).alias("docs"))
+    open_ = open_.select("of", fillers(F.col("gap"), F.col("docs")).alias("_fill"))
+    part = part.join(open_, F.col("source").eqNullSafe(F.col("of")), "left")
     part = part.withColumn("_more", F.col("_more") | F.coalesce(F.array_contains("_fill", F.col("_nth")), F.lit(False)))
-    part = part.drop("_nth", "_upto", "_gap", "_of", "_fill")
-    whole = spread.where(~cut).withColumn("_more", F.col("_block") < F.col("low"))
+    part = part.drop("_nth", "_upto", "_gap", "of", "_fill")
+    whole = spread.where(~cut).withColumn("_more", F.col("block") < F.col("low"))
     taken = whole.unionByName(part)
     passes = F.col("passes") + F.col("_more").cast("long")
-    nth = lambda p: p * blocks + F.col("_block")
+    nth = lambda p: p * blocks + F.col("block")
     shard = lambda p: F.get(F.filter("ranges", lambda r: r["last"] > nth(p)), F.lit(0))["shard"]
-    place = lambda p: F.xxhash64(F.lit(seed), F.lit("place"), p, "_at", "doc_id")
+    place = lambda p: F.xxhash64(F.lit(seed), F.lit("place"), p, "at", "doc_id")
     draws = F.when(passes > 0, F.transform(F.sequence(F.lit(0).cast("long"), passes - 1), lambda p: F.struct(shard(p).alias("shard"), place(p).alias("place"))))
-    return taken.select(
-        *[F.col(f"`{c}`") for c in columns], "_size", F.col("source_size").alias("_source_size"), F.col("target").alias("_target"),
-        F.coalesce(draws, F.array().cast("array<struct<shard:bigint,place:bigint>>")).alias("_draws"),
-    )
+    return taken.select("row", "source", "size", "source_size", "target", F.coalesce(draws, F.array().cast("array<struct<shard:bigint,place:bigint>>")).alias("draws"))
 
 
 def mix_report(docs: DataFrame, shards: int = SHARDS, seed: int = 1) -> DataFrame:
-    """doc_id, size, source_size, target, taken."""
+    """doc_id, size, source_size, target, taken, and the shards that take it (array, a number for each time)."""
     # Texts are read once; what is kept of them is their size and place.
     blocks = blocks_for(docs)
-    rows = stored(placed(docs.select("doc_id", "source", "text"), blocks, seed).drop("text"))
-    m = draw(rows, stored(quotas(rows, blocks)), ["doc_id"], blocks, shards, seed)
-    return m.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.size("_draws")).cast("long").alias("taken"))
+    rows = placed(docs.select("doc_id", "source", "text"), blocks, seed).withColumn("row", F.struct("doc_id"))
+    rows = stored(rows)
+    m = draw(rows, stored(quotas(rows, blocks)), blocks, shards, seed)
+    drawn = F.transform("draws", lambda d: d["shard"])
+    return m.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.size(drawn)).cast("long").alias("taken"), drawn.alias("shards"))
 
 
 def mixed(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The mix itself: a document's row for each time it is taken, dealt to shards and shuffled in
     each.  Without a number of shards there is one for every 100,000 documents, SHARDS at least."""
-    shards = shards or min(1024, max(SHARDS, docs.count() // 100_000))
-    m = mix(docs, shards).withColumn("_draw", F.explode("_draws"))
-    return m.repartition(shards, F.col("_draw.shard")).sortWithinPartitions("_draw.shard", "_draw.place").select(*[F.col(f"`{c}`") for c in docs.columns])
+    shards = shards or max(SHARDS, docs.count() // 100_000)
+    m = mix(docs, shards).withColumn("one", F.explode("draws"))
+    return m.repartition(min(shards, 1024), F.col("one.shard")).sortWithinPartitions("one.shard", "one.place").select("row.*")
