@@ -4,6 +4,7 @@ import struct
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from veilspark.llm import bpe, tokens
 from veilspark.llm.queries import vocabulary
@@ -49,6 +50,25 @@ def test_every_prefix(libraries, text):
     assert counts[len(cut)] <= 5 and all(c > 5 for c in counts[len(cut) + 1 :][:1])
 
 
+def test_ids_of_every_character(libraries):
+    """Whatever Unicode version knows them; each character stands alone, in a word and by a number."""
+    found = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    name = "word_bpe_49k.json"
+    texts = ["".join(f"{chr(c)} a{chr(c)}B 1{chr(c)}\n" for c in found[at : at + 128]) for at in range(0, len(found), 128)]
+    for text, want in zip(texts, libraries[name].encode_batch(texts, add_special_tokens=False)):
+        assert bpe.encode_text(vocabulary(name), text)[0] == struct.pack(f"<{len(want.ids)}I", *want.ids)
+    for text in ("".join(map(chr, found[at : at + 4000])) for at in range(0, 0x3000, 4000)):
+        same(libraries, "byte_bpe_50k.json", text)
+
+
+def test_prefix_columns(spark, libraries):
+    path = vocabulary("byte_bpe_50k.json")
+    rows = spark.createDataFrame([("It's a text", 1), (None, 2), ("", 3)], "text string, n int").select("n", tokens.prefix_counts(F.col("text"), path).alias("counts"), tokens.truncated(F.col("text"), path, 2).alias("cut"), tokens.encode(F.col("text"), path).alias("e")).collect()
+    got = {r.n: r for r in rows}
+    assert got[1].counts == bpe.load(path).prefix_counts("It's a text") and got[1].cut == "It's" and got[1].e.ids == bpe.encode_text(path, "It's a text")[0]
+    assert got[2].counts == [0] and got[2].cut is None and got[2].e.ids == b"" and got[3].cut == ""
+
+
 def test_tables(spark, libraries):
     rows = [(1, "It's a text", "x"), (1, "It's a text", "x"), (2, None, None), (None, "", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
@@ -56,4 +76,5 @@ def test_tables(spark, libraries):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in got) == [("1", 11, 4, True), ("1", 11, 4, True), ("2", 0, 0, False), ("None", 0, 0, False)]
     done = {r.doc_id: r for r in tokens.encode_digests(docs, vocabulary("word_bpe_49k.json")).collect()}
     assert done[2].ids_sha256 == hashlib.sha256(b"").hexdigest() and done[1].n_tokens == 4
+    assert tokens.count_tokens(docs.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
     assert tokens.encode_digests(docs.limit(0), vocabulary("word_bpe_49k.json")).count() == 0

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -35,6 +36,14 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> re.Pattern:
+    """Characters that Python's Unicode version does not know; the library's may be newer."""
+    free = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
+    edges = [k for k in range(len(free)) if k == 0 or free[k] != free[k - 1] + 1]
+    return re.compile("[" + "".join(f"{chr(free[a])}-{chr(free[b - 1])}" for a, b in zip(edges, [*edges[1:], len(free)])) + "]")
+
+
 class PrefixBpe:
     """One vocabulary.  Symbols are bytes; where words have an end mark, the last byte of a
     word is a symbol of its own (256 + byte)."""
@@ -42,12 +51,13 @@ class PrefixBpe:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
+        self.path, self.alphabet = path, byte_alphabet()
         self.end = model.get("end_of_word_suffix") or ""
         self.names = {i: t for t, i in model["vocab"].items()}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.names.update({i: t for t, i in self.special.items()})
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        alphabet = byte_alphabet()
+        alphabet = self.alphabet
 
         def symbols(name: str) -> str:
             if self.end and name.endswith(self.end):
@@ -184,6 +194,20 @@ class PrefixBpe:
     def pieces(self, text: str) -> list[str]:
         return (self.far_pieces if self.wide.search(text) else self.near_pieces).findall(text)
 
+    @lru_cache(maxsize=1)  # noqa: B019  one object lives as long as its worker
+    def _library(self):
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.path)
+
+    def words(self, text: str) -> list[str]:
+        """Pieces of a text as it is normalized; where it holds characters unknown here, the library
+        itself normalizes and cuts it (the encoding of the pieces is ours all the same)."""
+        if not (self.end and self.wide.search(text) and unassigned().search(text)):
+            return self.pieces(self.normal(text))
+        cut = self._library().pre_tokenizer.pre_tokenize_str(self._library().normalizer.normalize_str(text))
+        return [bytes(map(self.alphabet.__getitem__, shown)).decode("utf-8") for shown, _ in cut]
+
     def segments(self, text: str) -> list[str]:
         """Text and special strings in turn; special strings stand at odd places."""
         if self.split_special is None or "<|" not in text:
@@ -283,7 +307,7 @@ def count_text(path: str, text: str | None) -> int:
     bpe, cache = load(path), counted(path)
     total = 0
     for k, part in enumerate(bpe.segments(text)):
-        total += 1 if k % 2 else sum(map(cache.__getitem__, bpe.pieces(bpe.normal(part))))
+        total += 1 if k % 2 else sum(map(cache.__getitem__, bpe.words(part)))
     return total
 
 
@@ -299,7 +323,7 @@ def encode_text(path: str, text: str | None) -> tuple[bytes, str]:
             ids.append(bpe.special[part].to_bytes(4, "little"))
             shown.append(part)
             continue
-        made = [cache[p] for p in bpe.pieces(bpe.normal(part))]
+        made = [cache[p] for p in bpe.words(part)]
         ids += [m[0] for m in made]
         shown += [m[1] for m in made]
     return b"".join(ids), " ".join(shown)
