@@ -39,6 +39,20 @@ def test_broken_pages(spark, extractor):
     assert [r.page_id for r in got] == list(range(len(odd))) and got[0].text == "" and got[0].n_chars == 0
 
 
+def test_elements_that_nothing_ends(extractor):
+    words = lambda page: " ".join(t for n in html_text.parse(page) for t in n.kids if isinstance(t, str)).split()
+    assert words('<p>a</p><svg><path d="x"><p>hello') == ["a", "hello"]
+    assert sorted(words("<div>a<canvas>x<b>y</div>z")) == ["a", "z"] and words("<p>a<math><mi>x<div>b</div>") == ["a", "b"]
+    assert words("<p>a<select><option>x</select>b") == ["a", "b"] and words("<p>a<object>x<p>y</object>b") == ["a", "b"]
+    assert words("<p>a<option>x<p>b") == ["a", "b"] and words("<p>a<svg><title>t</title></svg>b") == ["a", "b"]
+
+
+def test_pages_table_edges(spark, extractor):
+    rows = [(1, "u", "<article><p>" + "word " * 60_000 + "</article>"), (1, "u", "<article><p>x"), (1, "u", "<article><p>x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert html_text.main_texts(df, extractor).count() == 3 and html_text.main_texts(df.limit(0), extractor).count() == 0
+
+
 def test_boosters_learn():
     rng = np.random.default_rng(1)
     x = np.hstack([rng.normal(size=(2000, html_text.WIDTH)), rng.integers(0, 2, (2000, 5))]).astype(np.float32)

@@ -26,7 +26,8 @@ SENTENCE_ENDS = re.compile(r"[.!?](?:\s|$)")
 
 # Fixed values of HTML: what holds no page text, what has no end tag, and what is a block.
 SILENT = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "select", "option", "textarea", "title", "head", "datalist", "audio", "video"}
-RAW = {"script", "style", "title", "textarea", "noscript", "iframe", "template", "svg"}
+RAW = {"script", "style", "title", "textarea", "noscript", "iframe"}
+FOREIGN = {"svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
@@ -81,6 +82,12 @@ def parse(page: str | None) -> list[Node]:
     stack = [0]
     page = page or ""
     at, skip = 0, None
+    last_end: dict[str, int] = {}
+
+    def left_open(tag: str, start: int) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((e.start() for e in re.finditer(rf"</{re.escape(tag)}\b", page, re.I)), default=-1)
+        return last_end[tag] < start
 
     def text(part: str) -> None:
         part = html.unescape(part)
@@ -100,7 +107,12 @@ def parse(page: str | None) -> list[Node]:
         if skip is not None:
             if closing and tag == skip:
                 skip = None
-            continue
+                continue
+            # A block ends drawings and formulas, and silent elements that nothing ends; so does the end
+            # of what holds them.
+            if tag not in BLOCKS or not (skip in FOREIGN or left_open(skip, start)) or (closing and not any(nodes[k].tag == tag for k in stack)):
+                continue
+            skip = None
         if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag == tag:
