@@ -38,12 +38,21 @@ class FoldTable(dict):
 FOLDED = FoldTable()
 
 
+class CodeTable(dict):
+    """The same by code point, as str.translate asks for it."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = made = FOLDED[chr(code)]
+        return made
+
+
+BY_CODE = CodeTable()
+
+
 def fold(text: str, unescape: bool = True) -> str:
     """Entities resolved, accents and case folded, white space collapsed and trimmed."""
-    if unescape:
-        text = html.unescape(text)
-    folded = "".join(map(FOLDED.__getitem__, unicodedata.normalize("NFC", text)))
-    return re.sub(r"\s+", " ", folded).strip()
+    composed = unicodedata.normalize("NFC", html.unescape(text) if unescape else text)
+    return " ".join(composed.translate(BY_CODE).split())
 
 
 def tokens_of(name: str) -> list[str]:
@@ -54,14 +63,18 @@ def key_of(name: str) -> tuple[str, ...]:
     return tuple(sorted(tokens_of(name)))
 
 
+def orders_of(tokens: list[str]) -> set[tuple[str, ...]]:
+    return set(permutations(tokens)) if len(tokens) <= MOST_PERMUTED else {tuple(tokens), tuple(reversed(tokens))}
+
+
 def pattern_of(name: str) -> str:
     """A regular expression that finds the name in folded text: whole words, tokens in any order."""
-    tokens = tokens_of(name)
-    if not tokens:
+    spelled = [BETWEEN_TOKENS.join(re.escape(t) for t in order) for order in orders_of(tokens_of(name))]
+    if not any(spelled):
         raise ValueError("a name without tokens cannot be searched for")
-    orders = permutations(tokens) if len(tokens) <= MOST_PERMUTED else (tokens, tokens[::-1])
-    spellings = {BETWEEN_TOKENS.join(map(re.escape, o)) for o in orders}
-    return rf"(?<!\w)(?:{'|'.join(sorted(spellings, key=lambda s: (-len(s), s)))})(?!\w)"
+    spelled.sort()
+    spelled.sort(key=len, reverse=True)  # an engine takes the first alternative that fits
+    return r"(?<!\w)(?:" + "|".join(spelled) + r")(?!\w)"
 
 
 def fold_glyphs(glyphs: list[str]) -> tuple[str, list[int]]:
