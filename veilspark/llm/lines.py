@@ -3,7 +3,7 @@
 A line is its set of words.  All words have one global order, rare ones first; two lines of Jaccard
 similarity t or more share a word within short prefixes in that order, so only lines that meet at a
 prefix word are compared.  Pairs must pass the length filter, the positional filter (what the places of
-the shared word still allow) and a parity filter (64 bits whose differences are at most the words not
+the shared word still allow) and a parity filter (128 bits whose differences are at most the words not
 shared); what passes is verified on the lines themselves.  A line goes if an earlier line has its set or
 is verified similar.
 
@@ -34,7 +34,7 @@ SIMILARITY = 0.8
 #: share one are ordered by hash; any order is exact, a rarer-first one is quick.
 COUNTERS = 1 << 18
 #: Earlier partners of a line that are verified at first.
-LISTED = 8
+LISTED = 4
 #: Lines of one word that are swept together; a word with more goes to the second round.
 CROWD = 4096
 #: Lines of a pair of words that meet as many others at a time in the second round.
@@ -127,8 +127,8 @@ class Lines:
         total = lambda salt: np.add.reduceat(mix64(self.code ^ np.uint64(salt)), self.starts) if len(line) else np.empty(0, np.uint64)
         self.digest = total(0x5851F42D4C957F2D), total(0xD1342543DE82EF95)
 
-    def parity(self) -> np.ndarray:
-        return np.bitwise_xor.reduceat(np.uint64(1) << (self.code & np.uint64(63)), self.starts)
+    def parity(self) -> list[np.ndarray]:
+        return [np.bitwise_xor.reduceat(b, self.starts) if len(self.starts) else b for b in bits_of(self.code)]
 
     def places(self) -> np.ndarray:
         return np.arange(len(self.code)) - self.starts[self.line]
@@ -147,6 +147,12 @@ class Lines:
         return first
 
 
+def bits_of(code: np.ndarray) -> list[np.ndarray]:
+    """One of 128 bits for each word, as two numbers."""
+    bit, high = np.uint64(1) << (code & np.uint64(63)), (code & np.uint64(64)) > 0
+    return [np.where(high, np.uint64(0), bit), np.where(high, bit, np.uint64(0))]
+
+
 def word_ids(code: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket, 32 bits within it, and both as one number.  Words that share them only meet needlessly."""
     m = mix64(code)
@@ -175,7 +181,7 @@ def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: What a block holds: the first places of sets, prefix words, and places that go.
 FIRSTS, PREFIXES, GONE = 0, 1, 2
-COLUMNS = {FIRSTS: 4, PREFIXES: 7, GONE: 2}
+COLUMNS = {FIRSTS: 4, PREFIXES: 8, GONE: 2}
 BLOCKS = "bucket int, kind int, block binary"
 
 
@@ -195,7 +201,7 @@ def packer(t: float, least: int, levels: np.ndarray, buckets: int):
             use = (s.places() < s.reach(t)[s.line]) & new[s.line]
             line = s.line[use]
             bucket, key, _ = word_ids(s.code[use], buckets)
-            split(out, PREFIXES, bucket, [key, s.doc[line], s.number[line], s.sizes[line], s.places()[use], d1[line], s.parity()[line]])
+            split(out, PREFIXES, bucket, [key, s.doc[line], s.number[line], s.sizes[line], s.places()[use], (d1 >> np.uint64(32))[line], *(x[line] for x in s.parity())])
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["bucket", "kind", "block"])
 
     def split(out: list, kind: int, bucket: np.ndarray, columns: list[np.ndarray]) -> None:
@@ -209,11 +215,9 @@ def packer(t: float, least: int, levels: np.ndarray, buckets: int):
     return packs
 
 
-def passes(size_a, place_a, parity_a, size_b, place_b, parity_b, t: float) -> np.ndarray:
-    """Length, positional and parity filters, of arrays of pairs."""
-    need = t / (1 + t) * (size_a + size_b) - 1e-9  # words shared by lines that are similar enough
-    can = np.minimum(size_a - place_a, size_b - place_b)
-    return (np.minimum(size_a, size_b) >= t * np.maximum(size_a, size_b) - 1e-9) & (can >= need) & (np.bitwise_count((parity_a ^ parity_b).view(np.uint64)) <= size_a + size_b - 2 * need)
+def differing(parity, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which rows x and y differ: at most the words that they do not share."""
+    return sum(np.bitwise_count((p[x] ^ p[y]).view(np.uint64)) for p in parity)
 
 
 MET = "kind int, doc_a long, line_a int, doc_id long, line int, word long"
@@ -241,9 +245,9 @@ def sweeper(t: float, buckets: int):
             return
         yield met(GOES, *held.compact(True))
         yield met(CROWDED, word=(held.many << 31) | bucket)
-        key, doc, line, size, place, digest, parity = held.columns(PREFIXES)
+        key, doc, line, size, place, _, *parity = held.columns(PREFIXES)
         order = np.argsort((key << 20) + np.minimum(size, (1 << 20) - 1), kind="stable")
-        key, doc, line, size, place, parity = (c[order] for c in (key, doc, line, size, place, parity))
+        key, doc, line, size, place, *parity = (c[order] for c in (key, doc, line, size, place, *parity))
         first, later, more = earliest(key, place_codes(doc, line), size, place, parity, t)
         yield met(MEETS, doc[later], line[later], doc[first], line[first], np.where(more, (key[later] << 31) | bucket, -1))
 
@@ -282,7 +286,8 @@ class Bucket:
         if final:  # words of one row meet nothing
             order, n = run_lengths(columns[0])
             columns = [c[order[n > 1]] for c in columns]
-        _, first = leaders((columns[5] ^ (columns[0] << 32) ^ columns[3],), columns[1], columns[2])
+        key, _, _, size, _, digest, low, high = columns
+        _, first = leaders(((key << 32) | digest, size ^ low, high), columns[1], columns[2])
         columns = [c[marked(first, len(columns[0]))] for c in columns]
         order, n = run_lengths(columns[0])
         self.many = np.array(sorted({*self.many.tolist(), *columns[0][order[n > CROWD]].tolist()}), np.int64)
@@ -350,7 +355,7 @@ def earliest(key, at, size, place, parity, t: float) -> tuple[np.ndarray, np.nda
         need = t / (1 + t) * (size[j] + size[i]) - 1e-9  # words shared by lines that are similar enough
         ok = np.minimum(spare[j], spare[i]) >= need
         later, first, need = j[ok], i[ok], need[ok]
-        ok = np.bitwise_count((parity[later] ^ parity[first]).view(np.uint64)) <= size[later] + size[first] - 2 * need
+        ok = differing(parity, later, first) <= size[later] + size[first] - 2 * need
         later, first = later[ok], first[ok]
         for x, y in ((later, first), (first, later)):  # a row stands once on either side
             use = rank[y] < rank[x]
@@ -464,11 +469,12 @@ def crowd_checker(t: float):
         codes = group["codes"].to_pylist()
         sets = [np.frombuffer(codes[k], np.uint64) for k in order.tolist()]
         size, at = np.array([len(s) for s in sets]), place_codes(doc, line)
-        parity = np.array([np.bitwise_xor.reduce(np.uint64(1) << (s & np.uint64(63))) for s in sets], np.uint64)
-        one, none, gone = group["i"][0] == group["j"][0], np.zeros(1, np.int64), []
+        parity = [np.array(x, np.uint64) for x in zip(*[[np.bitwise_xor.reduce(b) for b in bits_of(s)] for s in sets])]
+        one, gone = group["i"][0] == group["j"][0], []
         for y in range(1, len(sets)):
             x = np.flatnonzero((at[:y] < at[y]) & ((block[:y] != block[y]) | one))
-            x = x[passes(size[x], none, parity[x], size[y : y + 1], none, parity[y : y + 1], t)]
+            need = t / (1 + t) * (size[x] + size[y]) - 1e-9
+            x = x[(np.minimum(size[x], size[y]) >= need) & (differing(parity, x, np.full(len(x), y)) <= size[x] + size[y] - 2 * need)]
             own = set(sets[y].tolist()) if len(x) else None
             if any(similar(set(sets[k].tolist()), own, t) for k in x.tolist()):
                 gone.append(y)
