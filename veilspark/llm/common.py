@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set (local tests)."""
+    """The folder in spark.checkpoint.dir; one of our own only where none is set and all runs on one
+    machine (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         folder = os.path.join(tempfile.gettempdir(), "veilspark-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 

@@ -200,9 +200,11 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> lis
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(rows)
     )
-    found = base_statistics(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")).where("NOT _failed")
+    # A document of several rows has one text here, the first in order; so the rows that come are bounded.
+    texts = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
+    found = base_statistics(texts).where("NOT _failed")
     got = found.select("doc_id", (F.col("quality") == 0).alias("bad"), *[c.alias(k) for k, c in ratios().items()]).collect()
-    return [r.asDict() for r in sorted(got, key=lambda r: (r["doc_id"], r["n_words"], r["mean_word"]))][: 2 * rows]
+    return [r.asDict() for r in sorted(got, key=lambda r: (r["doc_id"], r["n_words"], r["mean_word"]))]
 
 
 def verdict(rules: list[Rule]) -> Column:
@@ -231,5 +233,7 @@ def quality_report(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def accepted(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The rows that are kept, with their own columns."""
-    return judge(docs, rules).where("_kept").drop("_stats", "_failed", "_kept")
+    """The rows that are kept, with their own columns, whatever their names.  Null and empty texts fail
+    the base rules; no rows give no rows."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return judge(packed, rules).where("_kept").select("row.*")

@@ -257,7 +257,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 4) -> Model:
     clean = [h for h, y in zip(held, labels) if not y and h]
     if not toxic or not clean:
         return Model(np.zeros(ALPHABET**3), -1.0)
-    trim = lambda ws: [p for w in ws for p in pieces(w)[:1] if len(p) >= 2]
+    trim = lambda ws: [p for w in ws for p in pieces(w) if len(p) >= 2]
     in_toxic, in_clean = Counter(w for t in toxic for w in t), Counter(w for t in clean for w in t)
     usual = lambda w: 3 * in_clean[w] * len(toxic) >= in_toxic[w] * len(clean)
     witnesses = [w for w in first_witnesses(toxic, clean) if not usual(w)]
@@ -306,7 +306,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     side = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     some = side(1, TOXIC_ROWS).union(side(0, CLEAN_ROWS))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    # A document of several rows has one text here, the first in order; so the rows that come are bounded.
+    held = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    rows = held.orderBy("doc_id").collect()
     return train([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 
