@@ -13,5 +13,5 @@ def test_whole_terms_are_found_across_lines(spark):
 def test_top_is_a_share_of_the_text(spark, tmp_path):
     rows = [(0, "x" * 500 + " stupid " + "x" * 1500), (1, "x" * 500 + " stupid " + "x" * 200)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.type for r in queries.QUERIES["plan_classify_share"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.type for r in queries.QUERIES["plan_classify"](spark, str(tmp_path)).collect()}
     assert got == {0: "podium", 1: "other"}

@@ -122,19 +122,20 @@ def selection_unknown(spark, sf_dir):
     return catalog.unknown_ids(*_customers(spark, sf_dir)).select("person_id")
 
 
-@query("SELECT c_custkey AS sel_idx, 'selected person ' || (c_custkey + 1) AS label FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS sel_idx, 'selected person ' || (c_custkey + 1) AS label FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def not_found(spark, sf_dir):
     chosen = table(spark, sf_dir, "customer").select(F.lit("e").alias("event_id"), F.col("c_custkey").alias("sel_idx"))
-    hits = table(spark, sf_dir, "orders").select(F.lit("e").alias("event_id"), F.col("o_custkey").alias("sel_idx"))
+    hits = table(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.lit("e").alias("event_id"), F.col("o_custkey").alias("sel_idx"))
     return catalog.not_found(chosen, hits).select("sel_idx", catalog.label(F.col("sel_idx")).alias("label"))
 
 
 # -- pages ---------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z]+[^>]* href=\"([^\"]*)\"', 1)) AS value FROM pages")
+@query("""WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<[a-zA-Z][^>]*>')) AS tag FROM pages)
+SELECT page_id, a AS attr, trim(trim(v, '"''')) AS value FROM (SELECT page_id, lower(regexp_extract(x, '^[A-Za-z]+')) AS a, regexp_replace(x, '^[A-Za-z]+\\s*=\\s*', '') AS v FROM (SELECT page_id, unnest(regexp_extract_all(tag, '[A-Za-z]+\\s*=\\s*("[^"]*"|''[^'']*''|[^\\s>"'']+)')) AS x FROM t)) WHERE a IN ('href', 'src') AND trim(v, '"''') <> ''""")
 def link_extract(spark, sf_dir):
-    return links.extract_links(table(spark, sf_dir, "pages").select("page_id", "html"), "html").where("attr = 'href'").select("page_id", "value")
+    return links.extract_links(table(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", "attr", "value")
 
 
 def _sites(spark, sf_dir):
@@ -182,9 +183,9 @@ def fold_documents(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
-SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no, item_id AS subject_idx FROM l JOIN benchmark b ON contains(line, substr(b.text, 1, 60))""")
+SELECT DISTINCT doc_id, CAST(line_no AS INTEGER) AS line_no, item_id AS subject_idx FROM l JOIN benchmark b ON contains(line, b.text)""")
 def residual_lines(spark, sf_dir):
-    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("subject_idx"), F.substring("text", 1, 60).alias("term"))
+    terms = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("subject_idx"), F.col("text").alias("term"))
     return verify.residual_lines(table(spark, sf_dir, "documents"), "doc_id", "text", terms)
 
 
@@ -203,32 +204,23 @@ def file_digest(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", files.file_digest(F.col("text").cast("binary")).alias("digest"))
 
 
-@query()
+@query("""SELECT source AS event_id, sha256(unhex(string_agg(hex(encode(printf('%09d.txt', doc_id))) || '00' || sha256(text), '' ORDER BY doc_id))) AS snapshot FROM documents GROUP BY source""")
 def snapshot_hash(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return files.snapshot(docs.select(F.col("source").alias("event_id"), F.format_string("%09d.txt", "doc_id").alias("rel"), F.col("text").cast("binary").alias("content")))
 
 
-@query("SELECT doc_id, CAST(length(text) + 5 * sum(CASE WHEN unicode(c) > 127 THEN 1 ELSE 0 END) AS BIGINT) AS n_encoded FROM (SELECT doc_id, text, unnest(string_split(text, '')) AS c FROM documents) GROUP BY doc_id, text")
+@query("SELECT doc_id, CASE WHEN text = '' THEN '' ELSE string_agg(CASE WHEN unicode(c) > 127 THEN '&#x' || printf('%X', unicode(c)) || ';' ELSE c END, '' ORDER BY k) END AS encoded FROM (SELECT doc_id, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS k FROM documents) GROUP BY doc_id, text")
 def entity_encode(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(codec.entities(F.col("text"))).cast("long").alias("n_encoded"))
-
-
-@query("""SELECT doc_id, CASE WHEN contains(t, 'JUDGESDETAILSPERSKATER') THEN 'judges_details' WHEN contains(t, 'PANELOFJUDGES') THEN 'panel'
-WHEN NOT contains(t, 'PRINTED:') THEN CASE WHEN contains(h, 'PODIUM') THEN 'podium' ELSE 'other' END
-WHEN contains(t, 'RESULT') THEN CASE WHEN contains(t, 'SEGMENTSCORE') THEN 'segment_results' ELSE 'results' END ELSE 'other' END AS type
-FROM (SELECT doc_id, upper(regexp_replace(replace(text, 'pathetic', 'printed: result'), '\\s+', '', 'g')) AS t, upper(regexp_replace(replace(substr(text, 1, 300), 'stupid', 'podium'), '\\s+', '', 'g')) AS h FROM documents)""")
-def plan_classify(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("pathetic"), F.lit("printed: result")).alias("t"), F.replace(F.substring("text", 1, 300), F.lit("stupid"), F.lit("podium")).alias("h"))
-    return docs.select("doc_id", protocol.page_type(F.col("t"), F.col("h")).alias("type"))
+    return table(spark, sf_dir, "documents").select("doc_id", codec.entities(F.col("text")).alias("encoded"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN contains(t, 'JUDGESDETAILSPERSKATER') THEN 'judges_details' WHEN contains(t, 'PANELOFJUDGES') THEN 'panel'
 WHEN NOT contains(t, 'PRINTED:') THEN CASE WHEN contains(h, 'PODIUM') THEN 'podium' ELSE 'other' END
 WHEN contains(t, 'RESULT') THEN CASE WHEN contains(t, 'SEGMENTSCORE') THEN 'segment_results' ELSE 'results' END ELSE 'other' END AS type
 FROM (SELECT doc_id, upper(regexp_replace(replace(text, 'pathetic', 'printed: result'), '\\s+', '', 'g')) AS t, upper(regexp_replace(replace(substr(text, 1, CAST(ceil(length(text) * {protocol.TOP}) AS INTEGER)), 'stupid', 'podium'), '\\s+', '', 'g')) AS h FROM documents)""")
-def plan_classify_share(spark, sf_dir):
-    """plan_classify with the top as a share of the text, as protocol.TOP is one of the page."""
+def plan_classify(spark, sf_dir):
+    """A text's top is a share of it, as protocol.TOP is one of the page."""
     share = F.substring(F.col("text"), F.lit(1), F.ceil(F.length("text") * protocol.TOP).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("pathetic"), F.lit("printed: result")).alias("t"), F.replace(share, F.lit("stupid"), F.lit("podium")).alias("h"))
     return docs.select("doc_id", protocol.page_type(F.col("t"), F.col("h")).alias("type"))
@@ -273,9 +265,10 @@ def event_catalog(spark, sf_dir):
 
 def _run(spark, sf_dir) -> generate.Run:
     all_ = events.files(spark, sf_dir)
-    chosen = events.selection(spark, sf_dir, generate.catalogue(all_)[2])
+    found = generate.catalogue(all_)
+    chosen = events.selection(spark, sf_dir, found[2])
     urls = all_.select("event_id").distinct().withColumn("event_url", F.concat(F.lit(f"{events.HOST}/"), "event_id", F.lit("/index.htm")))
-    return generate.generate(all_, urls, chosen)
+    return generate.generate(all_, urls, chosen, found)
 
 
 @query(_WHO + """ SELECT event_id, printf('CAT%03d', cat_no) || s || '.htm' AS rel, CAST(ordinal - 1 AS INTEGER) AS row_no, CASE WHEN withdrawn THEN 'Nimi poistettu pyynnöstä' WHEN s = 'EN' THEN given || ' ' || family ELSE family || ', ' || given END AS name,

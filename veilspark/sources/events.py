@@ -6,7 +6,7 @@ This gives the page operators an input of any scale whose right answers are plai
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 GIVEN = ("Aino", "Émile", "Jürgen")
@@ -50,8 +50,46 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selection(spark: SparkSession, sf_dir: str, catalog: DataFrame) -> DataFrame:
     """event_id, person_id, sel_idx: everybody who withdrew, in the order of ids."""
-    from pyspark.sql import Window
-
     gone = catalog.where("status = 'WD'")
     place = F.row_number().over(Window.partitionBy("event_id").orderBy("cat_no", "ordinal")) - 1
     return gone.select("event_id", "person_id", place.alias("sel_idx"))
+
+
+def glyph_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """people with ordinal (place in the category), last (the category's last place), and chosen: those
+    who withdrew and every ninth customer, with name_idx, their place among the event's chosen."""
+    who = people(spark, sf_dir)
+    in_category = Window.partitionBy("event_id", "cat_no")
+    ranked = who.withColumn("ordinal", F.row_number().over(in_category.orderBy("custkey"))).withColumn("last", F.count(F.lit(1)).over(in_category))
+    ranked = ranked.withColumn("chosen", F.col("withdrawn") | (F.col("custkey") % 9 == 0))
+    return ranked.withColumn("name_idx", (F.count_if("chosen").over(Window.partitionBy("event_id").orderBy("custkey")) - 1).cast("int"))
+
+
+def protocol_lines(who: DataFrame) -> DataFrame:
+    """rel, page, line_no, text, x, y of each event's protocol: a podium page, and a page for each
+    category with its results and then those who withdrew."""
+    line = lambda page, no, text, x, y: F.struct(page.cast("int").alias("page"), no.cast("int").alias("line_no"), text.alias("text"), F.lit(float(x)).alias("x"), y.cast("double").alias("y"))
+    lit, row = F.lit, F.lit(100) + 20 * F.col("ordinal")
+    named = F.concat_ws(" ", F.col("ordinal").cast("string"), "family", "given")
+    page, heading = F.col("cat_no"), F.lit(120) + 20 * F.col("last")
+    result = F.array(line(page, 10 * F.col("ordinal"), named, 50, row), line(page, 10 * F.col("ordinal") + 1, F.col("club"), 400, row), line(page, 10 * F.col("ordinal") + 2, lit("1.50"), 700, row))
+    gone = F.array(line(page, 1_000_000 + 10 * F.col("ordinal"), F.concat_ws(" ", "given", "family"), 50, heading + 20 * F.col("ordinal")))
+    podium = F.when(F.col("ordinal") == 1, F.array(line(lit(0), page, F.concat_ws(" ", "given", "family"), 50, lit(80) + 20 * page)))
+    none = F.array().cast("array<struct<page:int,line_no:int,text:string,x:double,y:double>>")
+    own = who.select("event_id", F.explode(F.concat(F.when(F.col("withdrawn"), gone).otherwise(result), F.coalesce(podium, none))).alias("l"))
+    title = F.when(page % 2 == 1, "Results").otherwise(lit("Result Segment score"))
+    heads = who.groupBy("event_id", "cat_no", "last").agg(F.max("withdrawn").alias("any"))
+    head = F.array(line(page, lit(0), lit("Cup"), 50, lit(20)), line(page, lit(1), title, 50, lit(40)), line(page, lit(2), lit("Printed: now"), 50, lit(60)))
+    list_head = F.when(F.col("any"), F.array(line(page, lit(1_000_000), lit("Withdrawn"), 50, heading))).otherwise(none)
+    top = who.select("event_id").distinct().select("event_id", F.explode(F.array(line(lit(0), lit(0), lit("PODIUM"), 50, lit(50)))).alias("l"))
+    lines = own.unionByName(heads.select("event_id", F.explode(F.concat(head, list_head)).alias("l"))).unionByName(top)
+    return lines.select(F.concat("event_id", F.lit(".pdf")).alias("rel"), "l.*")
+
+
+def glyphs(lines: DataFrame) -> DataFrame:
+    """Glyphs of lines, six wide each."""
+    each = lines.select("rel", "page", "line_no", "x", "y", F.posexplode(F.split("text", "")).alias("glyph_no", "c"))
+    x = F.col("x") + 6 * F.col("glyph_no")
+    return each.select(
+        "rel", "page", "line_no", "glyph_no", "c", x.alias("x0"), (F.col("y") - 9).alias("y0"), (x + 6).alias("x1"), (F.col("y") + 2).alias("y1"), x.alias("ox"), F.col("y").alias("oy"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"),
+    )

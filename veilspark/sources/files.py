@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ def read_mirror(spark: SparkSession, root: str) -> DataFrame:
     """event_id, rel, content of a folder that holds one folder for each event."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     tail = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
-    return files.select(F.regexp_extract(tail, "^([^/]+)/", 1).alias("event_id"), F.regexp_replace(tail, "^[^/]+/", "").alias("rel"), "content").where(safe_path(F.col("rel")))
+    return files.select(F.regexp_extract(tail, "^([^/]+)/", 1).alias("event_id"), checked_path(F.regexp_replace(tail, "^[^/]+/", "")).alias("rel"), "content")
 
 
 def safe_path(rel: Column) -> Column:
@@ -23,6 +26,21 @@ def safe_path(rel: Column) -> Column:
     return (rel != "") & ~rel.startswith("/") & ~F.array_contains(F.split(rel, "/"), "..")
 
 
+def checked_path(rel: Column) -> Column:
+    """The path; one that leaves its folder is an error."""
+    return F.when(safe_path(rel), rel).otherwise(F.raise_error(F.lit("unsafe_path")).cast("string"))
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Sees that there is a folder for checkpoints: the one in spark.checkpoint.dir, or, where all runs on
+    one machine and none is set, one of our own."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() is not None:
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+    spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "veilspark-checkpoints"))
+
+
 def links_of(pages: DataFrame) -> DataFrame:
     """event_id, rel, base_url, text -> every link with its kind and target."""
     found = extract_links(pages.withColumn("page_url", F.concat("base_url", "rel")))
@@ -33,13 +51,10 @@ def reachable(links: DataFrame, roots: DataFrame, most_rounds: int = MOST_FILES)
     """event_id, rel reachable from roots (event_id, rel) over links (event_id, rel, target) to
     followed files; only re-scanned files lead on.  A round adds a frontier; a file is met once.
 
-    A round's visited set is cut from its lineage in the folder of spark.checkpoint.dir.
+    A round's visited set is cut from its lineage in the folder of spark.checkpoint.dir.  An event that
+    is not done after most_rounds rounds is an error.
     """
-    spark = links.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
+    checkpoints(links.sparkSession)
     like = lambda c, ends: F.exists(F.array(*[F.lit(e) for e in ends]), lambda e: F.lower(c).endswith(e))
     edges = links.where(like(F.col("target"), FOLLOWED) & like(F.col("rel"), SCANNED)).select("event_id", "rel", "target").distinct()
     seen = roots.select("event_id", "rel").distinct()
@@ -50,6 +65,8 @@ def reachable(links: DataFrame, roots: DataFrame, most_rounds: int = MOST_FILES)
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
+    else:
+        raise ValueError("too_many_files")
     return seen
 
 
