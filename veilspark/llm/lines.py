@@ -137,14 +137,11 @@ class Lines:
         """Length of each line's prefix; none where only equal sets are similar enough."""
         return np.where(self.sizes >= t * (self.sizes + 1) - 1e-9, self.sizes - np.ceil(t * self.sizes - 1e-9).astype(np.int64) + 1, 0)
 
-    def firsts(self) -> np.ndarray:
-        """Whether a line is the first one here of its set."""
-        order = np.lexsort((self.number, self.doc, self.digest[1], self.digest[0]))
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([d[order][1:] != d[order][:-1] for d in self.digest], axis=0)
-        first = np.zeros(len(order), bool)
-        first[order[new]] = True
-        return first
+    def firsts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a line has the first place here of its set, and whether its place is a later one."""
+        order, first = leaders(self.digest, self.doc, self.number)
+        later = order[(self.doc[order] != self.doc[first]) | (self.number[order] != self.number[first])]
+        return marked(first, len(self.doc)), marked(later, len(self.doc))
 
 
 def bits_of(code: np.ndarray) -> list[np.ndarray]:
@@ -192,10 +189,10 @@ def packer(t: float, least: int, levels: np.ndarray, buckets: int):
             s = Lines(pieces, levels, least)
             if not len(s.doc):
                 continue
-            new = s.firsts()
+            new, later = s.firsts()
             out: list[tuple[int, int, bytes]] = []
-            if not new.all():
-                out.append((int(s.digest[0][0] % np.uint64(buckets)), GONE, pack([s.doc[~new], s.number[~new]])))
+            if later.any():
+                out.append((int(s.digest[0][0] % np.uint64(buckets)), GONE, pack([s.doc[later], s.number[later]])))
             d1, d2 = s.digest
             split(out, FIRSTS, (d1[new] % np.uint64(buckets)).astype(np.int64), [d1[new], d2[new], s.doc[new], s.number[new]])
             use = (s.places() < s.reach(t)[s.line]) & new[s.line]
@@ -442,7 +439,7 @@ def crowd_rows(t: float, least: int, levels: np.ndarray, buckets: int, some: np.
             if not len(s.doc):
                 continue
             reach, place = s.reach(t), s.places()
-            held = np.flatnonzero((place < reach[s.line]) & s.firsts()[s.line])
+            held = np.flatnonzero((place < reach[s.line]) & s.firsts()[0][s.line])
             word = word_ids(s.code[held], buckets)[2]
             many = in_sieve(crowded, word)
             few, held = held[in_sieve(some, word) & ~many], held[many]
