@@ -528,10 +528,10 @@ def without_repeats(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_W
     columns = [F.col(f"`{c}`") for c in docs.columns]
     lines = F.split("text", "\n", -1)
     n_lines = F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long")
-    # Only documents that may lose lines are moved.
+    # Only documents that may lose lines are moved, by the same plan whatever their number.
     touched = docs.withColumn(name("may"), F.coalesce(Sieve(gone.select(name("id"))).holds(F.col("doc_id").cast("long")) & F.col("doc_id").isNotNull(), F.lit(False)))
     places = F.filter(F.coalesce(name("gone"), F.array().cast("array<int>")), lambda k: k < F.size(lines))
-    joined = touched.where(name("may")).join(gone, F.col("doc_id").cast("long") == F.col(name("id")), "left").withColumn(name("n"), F.coalesce(F.size(places), F.lit(0)))
+    joined = touched.where(name("may")).join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(name("id")), "left").withColumn(name("n"), F.coalesce(F.size(places), F.lit(0)))
     keep = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(name("gone")))
     left = let(lines, lambda x: F.array_join(F.transform(keep(x), lambda k: F.get(x, k)), "\n"))
     text = F.when(F.col(name("n")) > 0, left).otherwise(F.col("text")).alias("text")
