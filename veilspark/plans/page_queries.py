@@ -170,6 +170,7 @@ def protocol_run(spark, sf_dir):
     """Protocols applied where their plan is the confirmed one (all but some events'): pages that stay, names
     written on them and left on them; and the protocols refused."""
     drawn, sizes, patterns = _glyphs(spark, sf_dir)
+    drawn, sizes, patterns = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (drawn, sizes, patterns))
     hits = glyphs.find_hits(drawn, patterns).persist(StorageLevel.MEMORY_AND_DISK)
     plans = protocol.plan(drawn, sizes, patterns, hits).persist(StorageLevel.MEMORY_AND_DISK)
     rels = events.people(spark, sf_dir).select("event_id", F.concat("event_id", F.lit(".pdf")).alias("rel")).distinct()
