@@ -40,7 +40,7 @@ CROWD = 4096
 #: Lines of a pair of words that meet as many others at a time in the second round.
 BLOCK = 1024
 #: Bytes of text whose lines are packed together by a task, and prefix rows of a bucket, about.
-RUN, BUCKET_ROWS = 6 << 20, 250_000
+RUN, BUCKET_ROWS = 2 << 20, 250_000
 #: Lines sorted together: their number takes 16 bits of a sort key.
 SORTED = 1 << 16
 
@@ -256,7 +256,7 @@ class Bucket:
 
     def __init__(self):
         self.blocks: dict[int, list[list[np.ndarray]]] = {FIRSTS: [], PREFIXES: []}
-        self.rows, self.limit, self.many = 0, 8 * BUCKET_ROWS, np.empty(0, np.int64)
+        self.rows, self.limit, self.many = 0, 4 * BUCKET_ROWS, np.empty(0, np.int64)
 
     def add(self, kind: int, block: bytes) -> bool:
         """Whether there are so many rows now that they need to be compacted."""
