@@ -46,6 +46,27 @@ def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), good AS (
+  SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+), reach(node, seen) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT r.node, l.v FROM reach r JOIN links l ON l.u = r.seen
+), least AS (
+  SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+)
+SELECT v.vec_id, (SELECT count(*) FROM links l WHERE l.u = v.vec_id) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN least ON node = v.vec_id
+"""
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -71,6 +92,35 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), length=5, percent=85)
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END AS shingles FROM w
+), n AS (
+  SELECT doc_id, len(shingles)::BIGINT AS n_shingles FROM s
+), one AS (
+  SELECT doc_id, len(shingles) AS size, unnest(shingles) AS shingle FROM s
+), numbered AS MATERIALIZED (
+  SELECT doc_id, size, dense_rank() OVER (ORDER BY shingle) AS shingle FROM one
+), shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM numbered a JOIN numbered b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.size, b.size) >= 85 * greatest(a.size, b.size)
+  GROUP BY a.doc_id, b.doc_id, a.size, b.size HAVING 100 * count(*) >= 85 * (a.size + b.size - count(*))
+), links AS MATERIALIZED (
+  SELECT u, v FROM shared UNION ALL SELECT v, u FROM shared
+), reach(node, seen) AS (
+  SELECT doc_id, doc_id FROM n
+  UNION
+  SELECT r.node, l.v FROM reach r JOIN links l ON l.u = r.seen
+), least AS (
+  SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN least ON node = doc_id
+"""
+
+
 def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -92,4 +142,4 @@ QUERIES = {
     "op9_bpe_round_trip": op9_bpe_round_trip,
     "op10_toxicity": op10_toxicity,
 }
-SQL = {"op1_url_filter": OP1_SQL}
+SQL = {"op1_url_filter": OP1_SQL, "op2_embedding_neardup": OP2_SQL, "op8_minhash_neardup": OP8_SQL}
