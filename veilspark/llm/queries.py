@@ -49,12 +49,12 @@ def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP2_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-), good AS (
+), good AS MATERIALIZED (
   SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
   WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
-), links AS (
-  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
-  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM good a JOIN good b ON a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95 END
 ), reach(node, seen) AS (
   SELECT vec_id, vec_id FROM v
   UNION
