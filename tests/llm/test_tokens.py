@@ -78,3 +78,16 @@ def test_tables(spark, libraries):
     assert done[2].ids_sha256 == hashlib.sha256(b"").hexdigest() and done[1].n_tokens == 4
     assert tokens.count_tokens(docs.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
     assert tokens.encode_digests(docs.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
+
+
+def test_workers_keep_the_tokens_of_recent_pieces_only(monkeypatch):
+    path = vocabulary("word_bpe_49k.json")
+    texts = [" ".join(f"the w{k}x{j}" for j in range(50)) for k in range(20)]
+    want = [(bpe.encode_text(path, t), bpe.count_text(path, t)) for t in texts]
+    caches = bpe.encoded(path), bpe.counted(path)
+    for c in caches:
+        c.clear()
+        c.before.clear()
+    monkeypatch.setattr(bpe, "RECENT", 30)
+    assert [(bpe.encode_text(path, t), bpe.count_text(path, t)) for t in texts] == want
+    assert all(len(c) <= 30 and len(c.before) <= 30 and ("the" in c or "the" in c.before) for c in caches)

@@ -27,6 +27,8 @@ NARROW = {"l": "A-Za-zªµºÀ-ÖØ-öø-ɏ", "n": "0-9²³¹¼½¾", "s": "\\t-
 
 #: Entries a cache may hold before it is emptied; it only bounds memory, never results.
 CACHE_LIMIT = 700_000
+#: Pieces that a worker keeps the tokens of, before it lets older ones go: up to twice as many are held.
+RECENT = 75_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -255,33 +257,40 @@ class PrefixBpe:
         return text[: max(k for k, c in enumerate(counts) if c <= budget)]
 
 
-class Counted(dict):
-    """piece -> number of tokens, filled as pieces come."""
+class Recent(dict):
+    """piece -> what make() gives for it, filled as pieces come.  Workers outlive their stage, and what they
+    hold counts in the stages after it, too: when RECENT pieces came, those of before that were not asked for
+    meanwhile are let go."""
 
     def __init__(self, bpe: PrefixBpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.before = bpe, {}
+
+    def __missing__(self, piece: str):
+        made = self.before.get(piece)
+        if made is None:
+            made = self.make(piece)
+        if len(piece) <= 64:
+            if len(self) >= RECENT:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = made
+        return made
 
-    def __missing__(self, piece: str) -> int:
-        n = self.bpe.word_count(piece)
-        if len(piece) <= 64 and len(self) < CACHE_LIMIT:
-            self[piece] = n
-        return n
 
+class Counted(Recent):
+    """piece -> number of tokens."""
 
-class Encoded(dict):
-    """piece -> (ids as bytes, token strings joined by a space), filled as pieces come."""
+    def make(self, piece: str) -> int:
+        return self.bpe.word_count(piece)
 
-    def __init__(self, bpe: PrefixBpe):
-        super().__init__()
-        self.bpe = bpe
 
-    def __missing__(self, piece: str) -> tuple[bytes, str]:
+class Encoded(Recent):
+    """piece -> (ids as bytes, token strings joined by a space)."""
+
+    def make(self, piece: str) -> tuple[bytes, str]:
         ids = self.bpe.word_ids(piece)
-        made = (b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.bpe.names[i] for i in ids))
-        if len(piece) <= 64 and len(self) < CACHE_LIMIT:
-            self[piece] = made
-        return made
+        return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.bpe.names[i] for i in ids)
 
 
 @lru_cache(maxsize=4)
