@@ -41,6 +41,8 @@ CROWD = 4096
 BLOCK = 1024
 #: Bytes of text whose lines are packed together by a task, and prefix rows of a bucket, about.
 RUN, BUCKET_ROWS = 2 << 20, 250_000
+#: Tasks that sweep buckets, for each partition of a shuffle.
+TASKS = 2
 #: Lines sorted together: their number takes 16 bits of a sort key.
 SORTED = 1 << 16
 
@@ -226,7 +228,7 @@ def sweeper(t: float, buckets: int):
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks sorted by bucket -> MET."""
         bucket, held = None, Bucket()
-        for b in batches:
+        for b in slices(batches, 64):  # blocks are large
             for k, kind, block in zip(*[c.to_pylist() for c in b.columns]):
                 if k != bucket:
                     yield from finish(held, bucket)
@@ -501,7 +503,8 @@ def removed_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WOR
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     buckets = max(ranges, int(counts.sum() * (1 - t)) // BUCKET_ROWS)
     blocks = texts.mapInArrow(packer(t, least, levels, buckets), BLOCKS)
-    all_met = stored(blocks.repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(sweeper(t, buckets), MET))
+    # A task's blocks reach Python as one batch, so tasks are small.
+    all_met = stored(blocks.repartition(TASKS * ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(sweeper(t, buckets), MET))
     place = ["doc_id", "line"]
     pairs = all_met.where(F.col("kind") == MEETS)
     near = stored(pairs.select("doc_a", "line_a", *place).distinct())
