@@ -18,6 +18,8 @@ from functools import lru_cache
 import ahocorasick
 import regex
 
+from .common import release
+
 # Fixed values of the vocabulary files' pre-tokenizers.
 BYTE_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?{L}+| ?{N}+| ?[^{s}{l}{n}]+|[{s}]+(?![^{s}])|[{s}]+"
 WORD_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|{L}+|{N}|[^{s}{l}{n}]+"
@@ -26,9 +28,9 @@ SPACES = r"\t-\r \x85\xa0  -     　"
 NARROW = {"l": "A-Za-zªµºÀ-ÖØ-öø-ɏ", "n": "0-9²³¹¼½¾", "s": "\\t-\\r \\x85\\xa0"}
 
 #: Entries a cache may hold before it is emptied; it only bounds memory, never results.
-CACHE_LIMIT = 700_000
+CACHE_LIMIT = 250_000
 #: Pieces that a worker keeps the tokens of, before it lets older ones go: up to twice as many are held.
-RECENT = 75_000
+RECENT = 40_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -41,9 +43,13 @@ def byte_alphabet() -> dict[str, int]:
 @lru_cache(maxsize=1)
 def unassigned() -> re.Pattern:
     """Characters that Python's Unicode version does not know; the library's may be newer."""
-    free = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Cn"]
-    edges = [k for k in range(len(free)) if k == 0 or free[k] != free[k - 1] + 1]
-    return re.compile("[" + "".join(f"{chr(free[a])}-{chr(free[b - 1])}" for a, b in zip(edges, [*edges[1:], len(free)])) + "]")
+    edges, was = [], False  # without a list of all 800,000
+    for c in range(0x80, sys.maxunicode + 2):
+        free = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if free != was:
+            edges.append(c)
+            was = free
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2], edges[1::2])) + "]")
 
 
 class PrefixBpe:
@@ -295,8 +301,11 @@ class Encoded(Recent):
 
 @lru_cache(maxsize=4)
 def load(path: str) -> PrefixBpe:
-    """One vocabulary for each worker process."""
-    return PrefixBpe(path)
+    """One vocabulary for each worker process.  What it held for a stage before is given back first."""
+    release()
+    made = PrefixBpe(path)
+    release()
+    return made
 
 
 @lru_cache(maxsize=4)

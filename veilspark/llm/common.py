@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,6 +21,24 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield b.slice(at, rows)
 
 
+def release() -> None:
+    """Gives memory that this process has freed back to the system, as far as its allocators allow."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def freeing(run: Callable) -> Callable:
+    """A function of batches whose worker gives back what it has freed once a task is done: idle workers stay
+    for a minute, beside those of the stages after theirs."""
+
+    def and_free(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return and_free
+
+
 def fresh(columns: list[str]) -> Callable[[str], str]:
     """Names for columns of our own that none of these have (in any case)."""
     mark = "_"
@@ -70,7 +89,7 @@ def contract(links: DataFrame) -> DataFrame:
                 parent.clear()
         yield out()
 
-    return links.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(forest, "u long, v long")
+    return links.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(freeing(forest), "u long, v long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -131,7 +150,7 @@ class Sieve:
 
         kind = "part int, bits binary"
         self.bits = np.zeros(SIEVE_BITS // 8, np.uint8)
-        for r in ids.mapInArrow(fill, kind).repartition(SIEVE_PARTS, "part").mapInArrow(merge, kind).toLocalIterator():
+        for r in ids.mapInArrow(freeing(fill), kind).repartition(SIEVE_PARTS, "part").mapInArrow(freeing(merge), kind).toLocalIterator():
             self.bits[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
 
     def holds(self, column: Column) -> Column:

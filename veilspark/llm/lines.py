@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, fresh, slices, slots, stored
+from .common import Sieve, freeing, fresh, slices, slots, stored
 from .quality import let
 from .shingles import encoded, mix64, word_hashes
 
@@ -412,7 +412,7 @@ def verified(texts: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(place_ids(np.asarray(b.column(0)), np.asarray(b.column(1))))], names=["id"])
 
-    bits = Sieve(places.mapInArrow(hashed, "id long")).bits
+    bits = Sieve(places.mapInArrow(freeing(hashed), "id long")).bits
 
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts -> their lines that the sieve lets through: hardly any others are moved."""
@@ -423,10 +423,10 @@ def verified(texts: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
             rows = [(int(doc[k]), int(number[k]), split[k]) for k in hit]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "line", "words"])
 
-    lines = stored(texts.mapInArrow(wanted, "doc_id long, line int, words binary"))
+    lines = stored(texts.mapInArrow(freeing(wanted), "doc_id long, line int, words binary"))
     first = lines.select(F.col("doc_id").alias("doc_a"), F.col("line").alias("line_a"), F.col("words").alias("words_a"))
     full = pairs.join(first, ["doc_a", "line_a"]).join(lines, ["doc_id", "line"])
-    return full.select("doc_id", "line", "words_a", "words").mapInArrow(verifier(t), "doc_id long, line int").distinct()
+    return full.select("doc_id", "line", "words_a", "words").mapInArrow(freeing(verifier(t)), "doc_id long, line int").distinct()
 
 
 CROWD_ROWS = "key long, doc_id long, line int, codes binary"
@@ -485,7 +485,7 @@ def crowd_checker(t: float):
 def second_round(texts: DataFrame, words: DataFrame, t: float, least: int, levels: np.ndarray, buckets: int) -> DataFrame:
     """Places whose lines are like an earlier one with which they share one of these words (word, crowded)."""
     some, crowded = (Sieve(words.where(F.col("crowded") == c).select("word")).bits for c in (False, True))
-    rows = stored(texts.mapInArrow(crowd_rows(t, least, levels, buckets, some, crowded), CROWD_ROWS))
+    rows = stored(texts.mapInArrow(freeing(crowd_rows(t, least, levels, buckets, some, crowded)), CROWD_ROWS))
     blocks = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
     dealt = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id", "line"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     sent = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "line", "codes")
@@ -497,14 +497,14 @@ def removed_lines(docs: DataFrame, t: float = SIMILARITY, least: int = LEAST_WOR
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     counts = np.zeros(COUNTERS, np.int64)
     part = COUNTERS // 64
-    for r in texts.mapInArrow(survey, "part int, block binary").repartition(64, "part").mapInArrow(tally, "part int, block binary").toLocalIterator():
+    for r in texts.mapInArrow(freeing(survey), "part int, block binary").repartition(64, "part").mapInArrow(freeing(tally), "part int, block binary").toLocalIterator():
         counts[r["part"] * part : (r["part"] + 1) * part] = unpack(r["block"], 1)[0]
     levels = np.minimum(255, np.round(8 * np.log2(counts + 1))).astype(np.uint8)
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 8)
     buckets = max(ranges, int(counts.sum() * (1 - t)) // BUCKET_ROWS)
-    blocks = texts.mapInArrow(packer(t, least, levels, buckets), BLOCKS)
+    blocks = texts.mapInArrow(freeing(packer(t, least, levels, buckets)), BLOCKS)
     # A task's blocks reach Python as one batch, so tasks are small.
-    all_met = stored(blocks.repartition(TASKS * ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(sweeper(t, buckets), MET))
+    all_met = stored(blocks.repartition(TASKS * ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(freeing(sweeper(t, buckets)), MET))
     place = ["doc_id", "line"]
     pairs = all_met.where(F.col("kind") == MEETS)
     near = stored(pairs.select("doc_a", "line_a", *place).distinct())

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, components, find, join_up, slices, stored
+from .common import Sieve, components, find, freeing, join_up, slices, stored
 from .shingles import mix64, shingle_sets
 
 #: Two documents of similarity 0.85 share no prefix of 4 in any of 24 trees once in 5e7 pairs.
@@ -239,15 +239,15 @@ def candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """a > b with their estimated similarity, for pairs that may be similar enough; and key, id of the
     regions in which not all pairs were met: crowded ones, and those at the ends of ranges."""
     spark = classes.sparkSession
-    rows = stored(classes.select("rep", "sig").mapInArrow(prefixes, "key long, deep long, id long"))
+    rows = stored(classes.select("rep", "sig").mapInArrow(freeing(prefixes), "key long, deep long, id long"))
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8)
     order = ["key", "deep", "id"]
-    swept = stored(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(neighbours, FOUND).distinct())
+    swept = stored(rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(freeing(neighbours), FOUND).distinct())
     pairs = swept.where(F.col("kind") == PAIR).select(F.col("id").alias("a"), F.col("other").alias("b"))
     sigs = classes.select("rep", "sig")
     both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
     crowd = rows.join(swept.where(F.col("kind") == REGION).select("key").distinct(), "key", "left_semi").select("key", "id")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(agreeing, "a long, b long, likely double").where(F.col("likely") >= percent / 100 - SLACK), crowd
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(freeing(agreeing), "a long, b long, likely double").where(F.col("likely") >= percent / 100 - SLACK), crowd
 
 
 def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> DataFrame:
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> Data
     what crowded regions still hold apart.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    signed = stored(docs.mapInArrow(signer(length, trees_for(percent)), "doc_id long, n_shingles long, digest binary, sig binary"))
+    signed = stored(docs.mapInArrow(freeing(signer(length, trees_for(percent))), "doc_id long, n_shingles long, digest binary, sig binary"))
     classes = stored(classes_of(signed))
     pairs, crowd = map(stored, candidates(classes, percent))
     # Documents whose rows have different sets join their classes.
@@ -280,13 +280,13 @@ def near_duplicates(docs: DataFrame, length: int = 5, percent: int = 85) -> Data
                 found = [s.tobytes() for s in shingle_sets(b.column(1).to_pylist(), length)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["id", "shingles"])
 
-        return stored(texts_of(wanted).mapInArrow(sets, "id long, shingles binary").where("octet_length(shingles) > 0"))
+        return stored(texts_of(wanted).mapInArrow(freeing(sets), "id long, shingles binary").where("octet_length(shingles) > 0"))
 
     texts = stored(texts_of(pairs.select("a").union(pairs.select("b")).distinct()).dropDuplicates(["a", "text"]))
 
     def confirmed(some: DataFrame) -> DataFrame:
         full = some.select("a", "b").join(texts.withColumnRenamed("text", "text_a"), "a").join(texts.select(F.col("a").alias("b"), F.col("text").alias("text_b")), "b")
-        return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(confirmer(length, percent), "u long, v long"))
+        return stored(full.select("a", "b", "text_a", "text_b").mapInArrow(freeing(confirmer(length, percent)), "u long, v long"))
 
     first = confirmed(pairs.groupBy("a").agg(F.max(F.struct("likely", "b")).alias("m")).select("a", F.col("m.b").alias("b"))).union(several)
     joined = components(first)
