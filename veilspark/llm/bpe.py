@@ -13,7 +13,7 @@ import json
 import re
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import ahocorasick
 import regex
@@ -83,6 +83,7 @@ class PrefixBpe:
         self.halves = [(r, r) for r in range(len(base))] + [(rank[a], rank[b]) for a, b in pairs]
         self.merged = {(rank[a], rank[b]): len(base) + n for n, (a, b) in enumerate(pairs)}
         self.n_base = len(base)
+        self.single = {self.text_of[r]: r for r in reversed(range(len(base)))}
         self.automaton = ahocorasick.Automaton()
         for r, t in enumerate(self.text_of):
             self.automaton.add_word(t, (r, len(t)))
@@ -135,7 +136,7 @@ class PrefixBpe:
         """Whether a vocabulary entry is the encoding of its own text."""
         known = self.whole.get(token)
         if known is None:
-            parts = [r for r in map(self._single, self.text_of[token])]
+            parts = [self.single[c] for c in self.text_of[token]]
             while len(parts) > 1:
                 best = min((self.merged.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
                 if best[0] == 1 << 60:
@@ -144,10 +145,6 @@ class PrefixBpe:
             known = self.whole[token] = parts == [token]
         return known
 
-    @lru_cache(maxsize=None)  # noqa: B019  one object lives as long as its worker
-    def _single(self, symbol: str) -> int:
-        return self.text_of.index(symbol, 0, self.n_base)
-
     def table(self, symbols: str) -> tuple[list[int], list[int]]:
         """For every prefix: its last token, and its number of tokens."""
         n = len(symbols)
@@ -202,8 +199,8 @@ class PrefixBpe:
     def pieces(self, text: str) -> list[str]:
         return (self.far_pieces if self.wide.search(text) else self.near_pieces).findall(text)
 
-    @lru_cache(maxsize=1)  # noqa: B019  one object lives as long as its worker
-    def _library(self):
+    @cached_property
+    def library(self):
         import tokenizers
 
         return tokenizers.Tokenizer.from_file(self.path)
@@ -213,7 +210,7 @@ class PrefixBpe:
         itself normalizes and cuts it (the encoding of the pieces is ours all the same)."""
         if not (self.end and self.wide.search(text) and unassigned().search(text)):
             return self.pieces(self.normal(text))
-        cut = self._library().pre_tokenizer.pre_tokenize_str(self._library().normalizer.normalize_str(text))
+        cut = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(map(self.alphabet.__getitem__, shown)).decode("utf-8") for shown, _ in cut]
 
     def segments(self, text: str) -> list[str]:
@@ -301,7 +298,7 @@ class Encoded(Recent):
 
 @lru_cache(maxsize=4)
 def load(path: str) -> PrefixBpe:
-    """One vocabulary for each worker process.  What it held for a stage before is given back first."""
+    """One vocabulary for each worker process, until forget().  What it held for a stage before is given back first."""
     release()
     made = PrefixBpe(path)
     release()
@@ -318,6 +315,13 @@ def encoded(path: str) -> Encoded:
     return Encoded(load(path))
 
 
+def forget() -> None:
+    """Lets go of this process's vocabularies and of all pieces it holds: tasks go around among an executor's
+    workers, of which there may be more than cores, and idle ones hold what they hold beside other stages."""
+    for held in (encoded, counted, load):
+        held.cache_clear()
+
+
 def count_text(path: str, text: str | None) -> int:
     """Tokens of a whole text (null: 0)."""
     if not text:

@@ -6,10 +6,16 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import bpe
+from .common import freeing, slices
+
+#: Texts that a worker holds as objects at a time.
+TEXTS = 256
 
 
 def n_tokens(text: Column, vocabulary: str) -> Column:
@@ -69,13 +75,19 @@ def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every row; the ids and the decoded text
     are digested where they are made, as they are longer than the text itself."""
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for some in texts:
-            rows = []
-            for t in some:
-                ids, shown = bpe.encode_text(vocabulary, t)
-                rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(shown.encode("utf-8", "surrogatepass")).hexdigest()))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select("doc_id", run("text").alias("e")).select("doc_id", "e.*")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            for b in slices(batches, TEXTS):
+                n, ids_sha, shown_sha = [], [], []
+                for t in b.column(1).to_pylist():
+                    ids, shown = bpe.encode_text(vocabulary, t)
+                    n.append(len(ids) // 4)
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    shown_sha.append(hashlib.sha256(shown.encode("utf-8", "surrogatepass")).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(shown_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            bpe.forget()
+
+    texts = docs.select("doc_id", "text")
+    kind = StructType([StructField("doc_id", texts.schema[0].dataType), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
+    return texts.mapInArrow(freeing(run), kind)
