@@ -1,5 +1,6 @@
 """Workers give back what they have freed."""
 
+import gc
 import hashlib
 import re
 import weakref
@@ -75,3 +76,18 @@ def test_workers_let_go_of_the_vocabulary_after_a_task():
     next(some)
     some.close()  # a task that ends early
     assert bpe.load.cache_info().currsize == 0
+
+
+def test_what_went_in_circles_goes_with_the_vocabulary():
+    class Ring:
+        pass
+
+    gc.disable()
+    try:
+        ring = Ring()
+        ring.me, ref = ring, weakref.ref(ring)
+        del ring
+        bpe.forget()
+        assert ref() is None
+    finally:
+        gc.enable()

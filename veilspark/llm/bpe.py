@@ -9,6 +9,7 @@ budget questions need no second encoding.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
@@ -320,6 +321,7 @@ def forget() -> None:
     workers, of which there may be more than cores, and idle ones hold what they hold beside other stages."""
     for held in (encoded, counted, load):
         held.cache_clear()
+    gc.collect()  # what went in circles pins memory, too
 
 
 def count_text(path: str, text: str | None) -> int:
