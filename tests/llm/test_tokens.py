@@ -91,3 +91,32 @@ def test_workers_keep_the_tokens_of_recent_pieces_only(monkeypatch):
     monkeypatch.setattr(bpe, "RECENT", 30)
     assert [(bpe.encode_text(path, t), bpe.count_text(path, t)) for t in texts] == want
     assert all(len(c) <= 30 and len(c.before) <= 30 and ("the" in c or "the" in c.before) for c in caches)
+
+
+def test_what_is_held_of_a_piece_is_its_ids():
+    """Not its decoded text, too, which is looked up for whole texts."""
+    path = vocabulary("word_bpe_49k.json")
+    model = bpe.load(path)
+    cache = bpe.Encoded(model)
+    text = "naïve it's 1999 <b>!! " + " ".join(f"ernta{k}nathewh你" for k in range(50))
+    held = [cache[p] for p in model.words(text)]
+    assert all(type(h) is bytes and len(h) == 4 * model.word_count(p) for p, h in cache.items())
+    ids, shown = bpe.encode_text(path, f"{text}<|endoftext|>")
+    assert ids == b"".join(held) + struct.pack("<I", model.special["<|endoftext|>"])
+    assert shown == " ".join(model.names[i] for i in struct.unpack(f"<{len(ids) // 4}I", ids)) == str(model.shown(ids), "utf-8")
+    assert bytes(model.shown(b"")) == b""
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_single_symbols_are_not_searched_for(libraries, monkeypatch, name):
+    """An end of a prefix costs what may end there, not its last symbol, which needs no search; the ids are the
+    library's, also when pairs found out are let go of all the time."""
+    model = bpe.PrefixBpe(vocabulary(name))
+    assert all(size > 1 for _, (_, size) in model.automaton.iter("".join(model.single) + "there"))
+    monkeypatch.setattr(bpe, "CACHE_LIMIT", 3)
+    for piece in ("a", "'", "erntanathewh", "aaaaaaaa", "ÿüöñ", "你😀", "xqzjkv" * 30):
+        want = libraries[name].encode(piece, add_special_tokens=False).ids
+        assert b"".join(map(model.word_ids, model.words(piece))) == struct.pack(f"<{len(want)}I", *want)
+        assert sum(map(model.word_count, model.words(piece))) == len(want)
+        symbols = model.symbols(model.words(piece)[0])
+        assert len(model.fits) <= 3 and model.counts(symbols)[-1] == model.word_count(model.words(piece)[0])

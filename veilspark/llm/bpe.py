@@ -17,6 +17,8 @@ import unicodedata
 from functools import cached_property, lru_cache
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 import regex
 
 from .common import release
@@ -53,6 +55,22 @@ def unassigned() -> re.Pattern:
     return re.compile("[" + "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in zip(edges[::2], edges[1::2])) + "]")
 
 
+class Fits(dict):
+    """(token, next token) -> whether they may stand so in a word, found out as pairs come."""
+
+    def __init__(self, bpe: PrefixBpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, pair: tuple[int, int]) -> bool:
+        left, right = pair
+        made = self.bpe.is_whole(right) if left == self.bpe.start else self.bpe.compatible(left, right)
+        if len(self) >= CACHE_LIMIT:
+            self.clear()
+        self[pair] = made
+        return made
+
+
 class PrefixBpe:
     """One vocabulary.  Symbols are bytes; where words have an end mark, the last byte of a
     word is a symbol of its own (256 + byte)."""
@@ -87,10 +105,13 @@ class PrefixBpe:
         self.single = {self.text_of[r]: r for r in reversed(range(len(base)))}
         self.automaton = ahocorasick.Automaton()
         for r, t in enumerate(self.text_of):
-            self.automaton.add_word(t, (r, len(t)))
+            if len(t) > 1:
+                self.automaton.add_word(t, (r, len(t)))
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {r: True for r in range(len(base))}
+        self.sizes = list(map(len, self.text_of))
+        self.packed = [i.to_bytes(4, "little") for i in self.id_of]
+        self.start = len(self.halves)  # stands before a word's first token
+        self.fits = Fits(self)
         byte_kind = not self.end
         pieces = BYTE_PIECES if byte_kind else WORD_PIECES
         near = {k: v for k, v in NARROW.items()}
@@ -102,92 +123,98 @@ class PrefixBpe:
     def compatible(self, left: int, right: int) -> bool:
         """Whether left followed by right is what encoding their joined text gives: undo the
         merges next to the seam, latest first; no pair across it may have come earlier."""
-        key = (left, right)
-        known = self.fits.get(key)
-        if known is not None:
-            return known
         ceiling = len(self.halves)
         a, b = left, right
         while True:
             joined = self.merged.get((a, b))
             if joined is not None and joined < ceiling:
-                result = False
-                break
+                return False
             if a > b:
                 # The left side was merged later: open it; its right half now meets the seam.
                 if a < self.n_base:
-                    result = True
-                    break
+                    return True
                 ceiling, a = a, self.halves[a][1]
             else:
                 if b < self.n_base:
                     if a < self.n_base:
-                        result = True
-                        break
+                        return True
                     ceiling, a = a, self.halves[a][1]
                 else:
                     # A merge on the right with the same rank as one across the seam comes later.
                     ceiling, b = b + 1, self.halves[b][0]
-        if len(self.fits) > CACHE_LIMIT:
-            self.fits.clear()
-        self.fits[key] = result
-        return result
 
     def is_whole(self, token: int) -> bool:
         """Whether a vocabulary entry is the encoding of its own text."""
-        known = self.whole.get(token)
-        if known is None:
-            parts = [self.single[c] for c in self.text_of[token]]
-            while len(parts) > 1:
-                best = min((self.merged.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
-                if best[0] == 1 << 60:
-                    break
-                parts[best[1] : best[1] + 2] = [best[0]]
-            known = self.whole[token] = parts == [token]
-        return known
-
-    def table(self, symbols: str) -> tuple[list[int], list[int]]:
-        """For every prefix: its last token, and its number of tokens."""
-        n = len(symbols)
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        fits, whole = self.fits, self.whole
-        for at, (token, size) in self.automaton.iter(symbols):
-            at += 1
-            if last[at] >= 0:
-                continue
-            j = at - size
-            if j:
-                known = fits.get((last[j], token))
-                if known is None:
-                    known = self.compatible(last[j], token)
-            else:
-                known = whole.get(token)
-                if known is None:
-                    known = self.is_whole(token)
-            if known:
-                last[at], count[at] = token, count[j] + 1
-        return last, count
+        if token < self.n_base:
+            return True
+        parts = [self.single[c] for c in self.text_of[token]]
+        while len(parts) > 1:
+            best = min((self.merged.get(p, 1 << 60), i) for i, p in enumerate(zip(parts, parts[1:])))
+            if best[0] == 1 << 60:
+                break
+            parts[best[1] : best[1] + 2] = [best[0]]
+        return parts == [token]
+
+    def last_tokens(self, symbols: str) -> list[int]:
+        """The last token of every prefix, by the place of its last symbol; at the end (the place before
+        the first symbol, too) stands the start.  Where no entry of several symbols may end, as exactly
+        one entry does, it is the symbol itself."""
+        last = list(map(self.single.__getitem__, symbols))
+        last.append(self.start)
+        fits, found = self.fits, -1
+        for at, (token, size) in self.automaton.iter(symbols):  # the longest first
+            if at != found and fits[last[at - size], token]:
+                last[at], found = token, at
+        return last
+
+    def counts(self, symbols: str) -> list[int]:
+        """Tokens of every prefix, from the empty one."""
+        count, sizes = [0], self.sizes
+        for at, token in enumerate(self.last_tokens(symbols)[:-1], 1):
+            count.append(count[at - sizes[token]] + 1)
+        return count
 
     def symbols(self, piece: str) -> str:
+        if piece.isascii():
+            return piece[:-1] + chr(256 + ord(piece[-1])) if self.end else piece
         raw = piece.encode("utf-8", "surrogatepass")
         if self.end:
             return raw[:-1].decode("latin-1") + chr(256 + raw[-1])
         return raw.decode("latin-1")
 
-    def word_ids(self, piece: str) -> list[int]:
-        """Follows the back-pointers from the end of the piece."""
-        s = self.symbols(piece)
-        last, _ = self.table(s)
-        out, i = [], len(s)
-        while i:
-            out.append(self.id_of[last[i]])
-            i -= len(self.text_of[last[i]])
-        return out[::-1]
+    def word_ids(self, piece: str) -> bytes:
+        """32 bits each, little-endian: follows the back-pointers from the end of the piece."""
+        last, sizes, packed, out = self.last_tokens(self.symbols(piece)), self.sizes, self.packed, []
+        at = len(last) - 2
+        while at >= 0:
+            token = last[at]
+            out.append(packed[token])
+            at -= sizes[token]
+        out.reverse()
+        return b"".join(out)
 
     def word_count(self, piece: str) -> int:
-        return self.table(self.symbols(piece))[1][-1]
+        last, sizes, n = self.last_tokens(self.symbols(piece)), self.sizes, 0
+        at = len(last) - 2
+        while at >= 0:
+            at -= sizes[last[at]]
+            n += 1
+        return n
 
     # -- texts -------------------------------------------------------------------------
+    @cached_property
+    def spaced(self) -> pa.Array:
+        """Token strings by id, each with a space after it."""
+        return pa.array([f"{self.names.get(i, '')} ".encode() for i in range(max(self.names) + 1)], pa.large_binary())
+
+    def shown(self, ids: bytes) -> memoryview:
+        """Token strings joined by spaces (UTF-8), as a vocabulary without a decoder gives them."""
+        if not ids:
+            return memoryview(b"")
+        found = self.spaced.take(pa.array(np.frombuffer(ids, "<u4")))
+        _, ends, data = found.buffers()
+        return memoryview(data)[: np.frombuffer(ends, np.int64)[len(found)] - 1]
+
     def normal(self, text: str) -> str:
         if not self.end:
             return text
@@ -236,7 +263,7 @@ class PrefixBpe:
             tokens, before = [], ""
             for p in pieces:
                 tokens.append(base)
-                counts = self.table(self.symbols(p))[1]
+                counts = self.counts(self.symbols(p))
                 ends, at = [], 0
                 for c in p:
                     at += len(c.encode("utf-8", "surrogatepass"))
@@ -290,11 +317,10 @@ class Counted(Recent):
 
 
 class Encoded(Recent):
-    """piece -> (ids as bytes, token strings joined by a space)."""
+    """piece -> ids as bytes; their strings are looked up for a whole text."""
 
-    def make(self, piece: str) -> tuple[bytes, str]:
-        ids = self.bpe.word_ids(piece)
-        return b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.bpe.names[i] for i in ids)
+    def make(self, piece: str) -> bytes:
+        return self.bpe.word_ids(piece)
 
 
 @lru_cache(maxsize=4)
@@ -335,19 +361,15 @@ def count_text(path: str, text: str | None) -> int:
     return total
 
 
-def encode_text(path: str, text: str | None) -> tuple[bytes, str]:
-    """Ids (little-endian, 32 bits each) and the decoded text: token strings joined by spaces,
-    as a vocabulary without a decoder gives them."""
+def text_ids(path: str, text: str | None) -> bytes:
+    """Ids of a whole text (little-endian, 32 bits each; null: none)."""
     if not text:
-        return b"", ""
-    bpe, cache = load(path), encoded(path)
-    ids, shown = [], []
-    for k, part in enumerate(bpe.segments(text)):
-        if k % 2:
-            ids.append(bpe.special[part].to_bytes(4, "little"))
-            shown.append(part)
-            continue
-        made = [cache[p] for p in bpe.words(part)]
-        ids += [m[0] for m in made]
-        shown += [m[1] for m in made]
-    return b"".join(ids), " ".join(shown)
+        return b""
+    bpe, known = load(path), encoded(path).__getitem__
+    return b"".join(bpe.special[part].to_bytes(4, "little") if k % 2 else b"".join(map(known, bpe.words(part))) for k, part in enumerate(bpe.segments(text)))
+
+
+def encode_text(path: str, text: str | None) -> tuple[bytes, str]:
+    """Ids as above and the decoded text."""
+    ids = text_ids(path, text)
+    return ids, str(load(path).shown(ids), "utf-8")

@@ -80,10 +80,10 @@ def encode_digests(docs: DataFrame, vocabulary: str) -> DataFrame:
             for b in slices(batches, TEXTS):
                 n, ids_sha, shown_sha = [], [], []
                 for t in b.column(1).to_pylist():
-                    ids, shown = bpe.encode_text(vocabulary, t)
+                    ids = bpe.text_ids(vocabulary, t)
                     n.append(len(ids) // 4)
                     ids_sha.append(hashlib.sha256(ids).hexdigest())
-                    shown_sha.append(hashlib.sha256(shown.encode("utf-8", "surrogatepass")).hexdigest())
+                    shown_sha.append(hashlib.sha256(bpe.load(vocabulary).shown(ids)).hexdigest())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(shown_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         finally:
             bpe.forget()
